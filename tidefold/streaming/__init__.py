@@ -1,0 +1,6 @@
+"""Kept empty on purpose.
+
+Incremental mode is a batch with a stored high watermark
+(``operators.filters.newer_than``); there is no stream, late data or stateful
+operator to express.
+"""
