@@ -36,16 +36,19 @@ LAYOUTS = {
 }
 
 
-def parse_tag_date(value: Column, layouts=tuple(LAYOUTS)) -> Column:
-    """Wall clock of a tag date, or null if no layout fits or no such day exists."""
+def parse_wall(value: Column, layouts=tuple(LAYOUTS)) -> Column:
+    """Wall clock of a tag date as TIMESTAMP_NTZ, or null if no layout fits or
+    no such day exists. Fractions of a second are dropped."""
     shape = "|".join(LAYOUTS[name] for name in layouts)
     day = F.replace(F.substring(value, 1, 10), F.lit(":"), F.lit("-"))
-    clock = F.ltrim(F.substring(value, 12, 1_000))
-    hour = F.lpad(F.substring_index(clock, ":", 1), 2, "0")
-    rest = F.substr(clock, F.instr(clock, ":"), F.lit(6))
-    wall = F.concat(day, F.lit(" "), hour, rest)
-    is_date = value.rlike(rf"\A(?:{shape})\z") & wall.try_cast("timestamp_ntz").isNotNull()
-    return F.when(is_date, wall)
+    clock = F.regexp_extract(value, r"[T ](\d{1,2}:\d{2}:\d{2})", 1)
+    wall = F.concat(day, F.lit(" "), clock).try_cast("timestamp_ntz")
+    return F.when(value.rlike(rf"\A(?:{shape})\z"), wall)
+
+
+def parse_tag_date(value: Column, layouts=tuple(LAYOUTS)) -> Column:
+    """The same as text."""
+    return parse_wall(value, layouts).cast("string")
 
 
 def wall_clock(instant: Column) -> Column:

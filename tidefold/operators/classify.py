@@ -80,21 +80,20 @@ def with_destination(dated: DataFrame, dest_folder: str) -> DataFrame:
     })
 
 
-def _settled(
-    keyed: DataFrame,
-    listing: DataFrame,
-    ledger: DataFrame,
-    hot_dest: HotKeys | None,
-    hot_hash: HotKeys | None,
+def with_states(
+    looked_up: DataFrame, ledger: DataFrame, hot_hash: HotKeys | None = None
 ) -> DataFrame:
-    """Date, destination, content and ledger tests, in that order."""
-    if "read_error" not in keyed.columns:
-        keyed = keyed.withColumn("read_error", F.lit(None).cast("string"))
+    """Date, destination, content and ledger tests, in that order.
+
+    Expects ``dest_taken`` and ``hash``; a row whose content could not be read
+    has a ``read_error`` or no hash. Only rows still open are looked up.
+    """
+    if "read_error" not in looked_up.columns:
+        looked_up = looked_up.withColumn("read_error", F.lit(None).cast("string"))
     readable = F.col("read_error").isNull() & F.col("hash").isNotNull()
     before_hash = F.when(F.col("date_wall").isNull(), states.SKIPPED_NO_DATE).when(
         F.col("dest_taken"), states.SKIPPED_DEST_EXISTS
     )
-    looked_up = with_dest_taken(keyed, listing, hot_dest)
     matched = with_known_copy(looked_up, ledger, before_hash.isNull() & readable, hot_hash)
     state = F.coalesce(
         before_hash,
@@ -108,6 +107,14 @@ def _settled(
     })
 
 
+def with_rejected(settled: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Settled rows and the early rejected ones, as ``RESULT_COLUMNS``."""
+    missing = [name for name in RESULT_COLUMNS if name not in rejected.columns]
+    nothing = {name: F.lit(None).cast("string") for name in missing}
+    early = rejected.withColumns(nothing).select(*RESULT_COLUMNS)
+    return settled.select(*RESULT_COLUMNS).unionByName(early)
+
+
 def static_classification(
     inventory: DataFrame,
     tags: DataFrame,
@@ -115,20 +122,8 @@ def static_classification(
     ledger: DataFrame,
     mark: Column,
     dest_folder: str,
-    hot_dest: HotKeys | None = None,
-    hot_hash: HotKeys | None = None,
 ) -> DataFrame:
     """State of each row against earlier runs; what passes is a candidate."""
     rejected, passed = split_early(inventory, mark)
     keyed = with_destination(effective_date(best_date(passed, tags)), dest_folder)
-    return with_rejected(
-        rejected, _settled(keyed, listing, ledger, hot_dest, hot_hash)
-    )
-
-
-def with_rejected(rejected: DataFrame, settled: DataFrame) -> DataFrame:
-    nothing = F.lit(None).cast("string")
-    early = rejected.withColumns({
-        name: nothing for name in ("dest_path", "month", "existing_path", "error")
-    })
-    return settled.select(*RESULT_COLUMNS).unionByName(early.select(*RESULT_COLUMNS))
+    return with_rejected(with_states(with_dest_taken(keyed, listing), ledger), rejected)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.functions.dates import (
     DATE_RULES,
     EXIF_RULES,
+    HIGH,
     LOW,
+    MEDIUM,
     MTIME_SOURCE,
     NONE,
     VIDEO_RULES,
@@ -18,73 +18,111 @@ from tidefold.functions.dates import (
     TagRule,
     confidence_label,
     eligible_extractors,
-    parse_tag_date,
-    tag_confidence,
+    parse_wall,
     wall_clock,
 )
 from tidefold.functions.paths import extension
 
 
-def _applies(rule: TagRule) -> Column:
-    return (
-        (F.col("scope") == rule.scope)
-        & (F.col("tag") == rule.tag)
-        & extension(F.col("path")).isin(*rule.extensions)
-    )
+# A date as 14 digits leaves room above it for a rank, so that "the best ranked
+# date" is the minimum of one BIGINT, which aggregates in place.
+_DIGITS = 10**14
+_UNREADABLE = _DIGITS - 1
+_STEP = 1_000
 
 
-def _candidate(rule: TagRule, wall: Column) -> Column:
-    """Struct whose smallest value is the best date: surest first, then the
-    earlier extractor, then its earlier tag."""
-    confidence = tag_confidence(extension(F.col("path")), rule.weak)
-    return F.when(
-        wall.isNotNull(),
-        F.struct(
-            (-confidence).alias("rank"),
-            F.lit(rule.rank).alias("extractor"),
-            F.lit(rule.order).alias("order"),
-            wall.alias("date_wall"),
-            confidence.alias("confidence"),
-            F.lit(rule.source).alias("source"),
-        ),
-    )
+def _digits(wall: Column) -> Column:
+    return F.translate(wall.cast("string"), "-: ", "").cast("bigint")
+
+
+def _text(digits: Column) -> Column:
+    padded = F.lpad(digits.cast("string"), 14, "0")
+    shape = r"(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)"
+    return F.regexp_replace(padded, shape, "$1-$2-$3 $4:$5:$6")
+
+
+def _rule_of(ext: Column, rules: tuple[TagRule, ...]) -> Column:
+    """Position of the rule a tag row falls under, or null."""
+    reads = {}
+    found = None
+    for at, rule in enumerate(rules):
+        extensions = reads.setdefault(rule.extensions, ext.isin(*rule.extensions))
+        fits = (F.col("scope") == rule.scope) & (F.col("tag") == rule.tag) & extensions
+        found = F.when(fits, at) if found is None else found.when(fits, at)
+    return found
+
+
+def _wall_by_rule(rules: tuple[TagRule, ...]) -> Column:
+    """The tag's date, by the layouts of its rule."""
+    groups: dict[tuple[str, ...], list[int]] = {}
+    for at, rule in enumerate(rules):
+        groups.setdefault(rule.layouts, []).append(at)
+    wall = None
+    for layouts, members in groups.items():
+        test, parsed = F.col("rule").isin(*members), parse_wall(F.col("value"), layouts)
+        wall = F.when(test, parsed) if wall is None else wall.when(test, parsed)
+    return wall
 
 
 def best_tag_date(tags: DataFrame, rules: tuple[TagRule, ...] = DATE_RULES) -> DataFrame:
     """``path, date_wall, confidence, source`` of the paths some tag dates.
 
-    One aggregation by path, combined before its shuffle. A stream tag is the
-    first non-empty one of all streams: it is picked before it is parsed, and if
-    it does not parse no later stream is tried.
+    The surest date wins, then the earlier extractor, then its earlier tag. One
+    aggregation by path over fixed-width values, combined before its shuffle.
+    A stream tag is the first non-empty one of all streams: if that one cannot
+    be read, no later stream is tried.
     """
-    direct = [rule for rule in rules if rule.scope != "stream"]
-    streamed = [rule for rule in rules if rule.scope == "stream"]
-    wanted = reduce(lambda a, b: a | b, [_applies(rule) for rule in rules])
-
-    best = []
-    if direct:
-        options = [
-            F.when(_applies(rule), _candidate(rule, parse_tag_date(F.col("value"), rule.layouts)))
-            for rule in direct
-        ]
-        best.append(F.min(F.coalesce(*options)).alias("direct"))
-    for at, rule in enumerate(streamed):
-        filled = _applies(rule) & (F.col("value") != "")
-        best.append(F.min(F.when(filled, F.struct("stream_index", "value"))).alias(f"stream{at}"))
-
-    found = [F.col("direct")] if direct else []
-    found += [
-        _candidate(rule, parse_tag_date(F.col(f"stream{at}.value"), rule.layouts))
-        for at, rule in enumerate(streamed)
-    ]
-    chosen = F.least(*found) if len(found) > 1 else found[0]
+    rules = tuple(sorted(rules, key=lambda rule: (rule.rank, rule.order)))
+    at = range(len(rules))
+    streams = [i for i in at if rules[i].scope == "stream"]
+
+    def weakness(rule: Column, ext: Column) -> Column:
+        """How far a rule stays below the highest confidence for this file."""
+        step = None
+        for weak in {one.weak for one in rules if one.weak}:
+            members = [i for i in at if rules[i].weak == weak]
+            test = rule.isin(*members) & ext.isin(*weak)
+            step = F.when(test, HIGH - MEDIUM) if step is None else step.when(test, HIGH - MEDIUM)
+        return F.lit(0) if step is None else step.otherwise(0)
+
+    rows = (
+        # A plain test on the tag's name is one the scan can take over.
+        tags.where(F.col("tag").isin(*sorted({rule.tag for rule in rules})))
+        .withColumn("ext", extension(F.col("path")))
+        .withColumn("rule", _rule_of(F.col("ext"), rules))
+        .where("rule is not null")
+        .withColumn("digits", _digits(_wall_by_rule(rules)))
+    )
+    is_stream = F.col("rule").isin(*streams) if streams else F.lit(False)
+    rank = weakness(F.col("rule"), F.col("ext")) * _STEP + F.col("rule")
+    packed = [F.min(F.when(~is_stream, rank * F.lit(_DIGITS) + F.col("digits"))).alias("direct")]
+    for i in streams:
+        filled = (F.col("rule") == i) & (F.col("value") != "")
+        first = F.col("stream_index") * F.lit(_DIGITS) + F.coalesce("digits", F.lit(_UNREADABLE))
+        packed.append(F.min(F.when(filled, first)).alias(f"stream{i}"))
+
+    ranked = [F.col("direct")]
+    for i in streams:
+        digits = F.col(f"stream{i}") % _DIGITS
+        rank = weakness(F.lit(i), extension(F.col("path"))) * _STEP + i
+        ranked.append(F.when(digits != _UNREADABLE, rank * F.lit(_DIGITS) + digits))
+    best = F.least(*ranked) if streams else ranked[0]
+    rank = F.call_function("div", F.col("best"), F.lit(_DIGITS)).cast("int")
+    sources = F.array(*[F.lit(rule.source) for rule in rules])
     return (
-        tags.where(wanted)
-        .groupBy("path")
-        .agg(*best)
-        .select("path", chosen.alias("best"))
+        rows.groupBy("path")
+        .agg(*packed)
+        .select("path", best.alias("best"))
         .where("best is not null")
-        .select("path", "best.date_wall", "best.confidence", "best.source")
+        .select("path", F.col("best") % _DIGITS, rank)
+        .toDF("path", "digits", "rank")
+        .select(
+            "path",
+            _text(F.col("digits")).alias("date_wall"),
+            (F.lit(HIGH) - F.call_function("div", F.col("rank"), F.lit(_STEP))).cast("int")
+            .alias("confidence"),
+            F.element_at(sources, F.col("rank") % _STEP + 1).alias("source"),
+        )
     )
 
 

@@ -25,7 +25,7 @@ def with_dest_taken(
     """Add ``dest_taken``: whether the destination key exists already."""
     taken = listing.select(F.col("dest_path").alias("_dest"), F.lit(True).alias("_hit"))
     keyed = rows.withColumn("_dest", _or_unmatched(F.col("dest_path")))
-    spread = HotKeys("_dest", hot.values, hot.salts) if hot else HotKeys("_dest")
+    spread = (hot or HotKeys("dest_path")).on("_dest")
     joined = balanced_join(keyed, taken.distinct(), "left", spread, "path")
     return joined.withColumn("dest_taken", F.coalesce("_hit", F.lit(False))).drop("_dest", "_hit")
 
@@ -42,7 +42,7 @@ def with_known_copy(
         F.col("hash").alias("_hash"), F.col("dest_path").alias("known_path")
     )
     keyed = rows.withColumn("_hash", _or_unmatched(key))
-    spread = HotKeys("_hash", hot.values, hot.salts) if hot else HotKeys("_hash")
+    spread = (hot or HotKeys("hash")).on("_hash")
     return balanced_join(keyed, known, "left", spread, "path").drop("_hash")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidefold.functions import states
 from tidefold.functions.paths import walk_key
 from tidefold.operators.classify import RESULT_COLUMNS
-from tidefold.operators.skew import HOT_ROWS, HotKeys, balanced_join, frequent, hot_keys
+from tidefold.operators.skew import HOT_ROWS, HotKeys, balanced_join, measure_hot_keys
 from tidefold.session import Scratch
 
 log = logging.getLogger(__name__)
@@ -60,12 +60,9 @@ def greedy_placement(
         number_in_walk_order(candidates.drop("state", "existing_path")),
         "numbered",
         F.count(F.lit(1)).alias("rows"),
-        frequent("dest_path").alias("dests"),
-        frequent("hash").alias("hashes"),
     )
-    spark = scratch.spark
-    hot_dest = hot_keys(spark, "dest_path", seen["dests"], seen["rows"], hot_rows)
-    hot_hash = hot_keys(spark, "hash", seen["hashes"], seen["rows"], hot_rows)
+    hot_dest = measure_hot_keys(numbered, "dest_path", seen["rows"], hot_rows)
+    hot_hash = measure_hot_keys(numbered, "hash", seen["rows"], hot_rows)
 
     accepted = None
     edges = numbered.select("place", "dest_path", "hash")
@@ -116,7 +113,8 @@ def _label(
 
 
 def final_results(static: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per file: rows settled earlier, and the placed candidates."""
+    """One row per file: rows settled against earlier runs, and the candidates
+    placed. The static states are read twice, so they are written once."""
     static = scratch.save(static, "static")
     is_candidate = F.col("state") == states.CANDIDATE
     placed = greedy_placement(static.where(is_candidate), scratch, hot_rows)

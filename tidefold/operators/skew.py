@@ -1,24 +1,18 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Hot keys are found by a frequent-items sketch, one bounded row however large the
-table; missing or extra keys in it change the balance, never the result. The
-rows of a hot key are spread over several salts and the few matching rows of
-the other side are repeated once per salt.
+The rows of a hot key are spread over several salts, and the few matching rows
+of the other side are repeated once per salt. Which keys count as hot changes
+the balance, never the result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot; the rest are each below
-# 1/SKETCH_KEYS of the rows and need no salt.
-SKETCH_KEYS = 1_000
-SKETCH_TRACKED = 10_000
-
 # Below this many rows a key fits any task.
 HOT_ROWS = 200_000
 
@@ -28,33 +22,38 @@ class HotKeys:
     """Hot values of one column, and over how many salts to spread them."""
 
     column: str
-    values: tuple = field(default=())
+    values: tuple[str, ...] = ()
     salts: int = 1
 
-
-def frequent(column: str) -> Column:
-    """Aggregate: the most frequent values of a text column."""
-    return F.expr(f"approx_top_k({column}, {SKETCH_KEYS}, {SKETCH_TRACKED})")
+    def on(self, column: str) -> HotKeys:
+        return HotKeys(column, self.values, self.salts)
 
 
-def hot_keys(
-    spark: SparkSession, column: str, top: list, rows: int, hot_rows: int = HOT_ROWS
+def measure_hot_keys(
+    df: DataFrame, column: str, rows: int, hot_rows: int = HOT_ROWS
 ) -> HotKeys:
-    """Keys of a sketch that outweigh an average shuffle partition."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(hot_rows, rows // width)
-    hot = [entry for entry in top or [] if entry["count"] > limit]
+    """Keys that outweigh an average shuffle partition.
+
+    Counted exactly, combined before the shuffle. There are at most as many such
+    keys as shuffle partitions, which bounds what reaches the driver; a table
+    too small to hold any is not read.
+    """
+    if rows <= hot_rows:
+        return HotKeys(column)
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(hot_rows, ceil(rows / width))
+    hot = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(column)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") > limit)
+        .collect()
+    )
     if not hot:
         return HotKeys(column)
-    heaviest = max(entry["count"] for entry in hot)
+    heaviest = max(row["rows"] for row in hot)
     salts = max(2, min(width, ceil(heaviest / limit)))
-    return HotKeys(column, tuple(entry["item"] for entry in hot), salts)
-
-
-def measure_hot_keys(df: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> HotKeys:
-    """Find the hot keys of a table by one pass over one column."""
-    seen = df.agg(frequent(column).alias("top"), F.count(column).alias("rows")).first()
-    return hot_keys(df.sparkSession, column, seen["top"], seen["rows"], hot_rows)
+    return HotKeys(column, tuple(sorted(row[column] for row in hot)), salts)
 
 
 def balanced_join(
@@ -62,7 +61,7 @@ def balanced_join(
 ) -> DataFrame:
     """``left`` joined on ``hot.column``, its hot keys split by ``spread_by``.
 
-    For left-preserving joins and inner joins: each left row meets every right
+    For left-preserving and inner joins: each left row still meets every right
     row of its key exactly once.
     """
     key = hot.column

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from tidefold import schemas
 from tidefold.session import Scratch
 
 DIGESTS = ("md5", "sha256")
@@ -153,5 +153,11 @@ def dest_listing(inventory: DataFrame) -> DataFrame:
     return inventory.select(F.col(key).alias("dest_path")).distinct()
 
 
-def empty_scan_errors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.SCAN_ERRORS)
+def taken_keys(spark: SparkSession, payload_table: str) -> DataFrame:
+    """Keys taken in a payload table, none if it was never written."""
+    try:
+        return dest_listing(spark.read.parquet(payload_table))
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in (problem.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], "dest_path string")

@@ -9,11 +9,17 @@ from tidefold.functions.states import COPIED
 
 ACCEPTED = ("path", "dest_path", "month", "hash", "size", "mtime")
 
+# Content of a file travels in parts of at most this many bytes.
+PART_BYTES = 32 * 1024 * 1024
+
+
+def accepted(results: DataFrame) -> DataFrame:
+    return results.where(F.col("state") == COPIED).select(*ACCEPTED)
+
 
 def accepted_payload(results: DataFrame, payload: DataFrame) -> DataFrame:
-    """Payload columns of the copied rows, joined on ``path``."""
-    accepted = results.where(F.col("state") == COPIED).select(*ACCEPTED)
-    return accepted.join(payload, "path")
+    """Payload columns of the copied rows, from a table joined on ``path``."""
+    return accepted(results).join(payload, "path")
 
 
 def write_months(rows: DataFrame, folder: str) -> None:
@@ -23,7 +29,39 @@ def write_months(rows: DataFrame, folder: str) -> None:
     a month too large for one task. The commit protocol makes the write atomic;
     mtime stays a column.
     """
-    rows.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(folder)
+    balanced = rows.hint("rebalance", "month")
+    balanced.write.mode("append").partitionBy("month").parquet(folder)
+
+
+def with_content(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Add ``part`` and ``content`` by reading each row's file in its task.
+
+    A file of any size becomes as many rows as it has parts (one for an empty
+    file), so neither a column limit nor memory bounds it.
+    """
+
+    def read(batches):
+        for batch in batches:
+            for at in range(len(batch)):
+                row = batch.iloc[[at]]
+                with open(row["path"].iloc[0], "rb") as source:
+                    part, content = 0, source.read(part_bytes)
+                    while content or part == 0:
+                        yield row.assign(part=part, content=[content])
+                        part, content = part + 1, source.read(part_bytes)
+
+    schema = rows.schema.add("part", "bigint").add("content", "binary")
+    return rows.mapInPandas(read, schema)
+
+
+def write_files_by_month(results: DataFrame, folder: str) -> None:
+    """Append the content of the copied files under ``month=YYYY-MM``.
+
+    Only the accepted rows are balanced over tasks; content is read where it is
+    written and never shuffled.
+    """
+    balanced = accepted(results).hint("rebalance", "month")
+    with_content(balanced).write.mode("append").partitionBy("month").parquet(folder)
 
 
 def write_report(rows: DataFrame, folder: str, form: str = "parquet") -> None:

@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from tidefold.functions.dates import EXTRACTORS, wall_clock
 from tidefold.functions.paths import ALLOWED_EXTENSIONS, destination, extension
 from tidefold.operators.classify import static_classification
-from tidefold.operators.placement import final_results
+from tidefold.plans.ingest import Inputs, classify_run
 from tidefold.session import Scratch
 from tidefold.sources.ledger import watermark_seconds
 
@@ -116,14 +115,17 @@ def _tag(scope: str, tag: str, value: Column, index: int = -1) -> Column:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ext = extension(F.col("path"))
-    kind = F.col("doc_id") % 7
-    taken = F.expr("mtime - INTERVAL 40 DAYS")
-    spaced = wall_clock(taken)
-    colon = F.date_format(taken, "yyyy:MM:dd HH:mm:ss")
+    ext, kind, spaced = F.col("ext"), F.col("kind"), F.col("spaced")
+    colon = F.replace(spaced, F.lit("-"), F.lit(":"))
     zulu = F.concat(F.replace(spaced, F.lit(" "), F.lit("T")), F.lit(".000000Z"))
     image = ext.isin(*EXTRACTORS["EXIF"])
     video = ext.isin(*EXTRACTORS["Video"])
+    files = base(spark, sf_dir).select(
+        "path",
+        extension(F.col("path")).alias("ext"),
+        (F.col("doc_id") % 7).alias("kind"),
+        wall_clock(F.expr("mtime - INTERVAL 40 DAYS")).alias("spaced"),
+    )
     rows = (
         F.when(image & (kind == 0), F.array(
             _tag("exif", "DateTimeOriginal", colon), _tag("exif", "DateTime", colon)))
@@ -140,11 +142,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
             _tag("stream", "creation_time", F.lit(""), 0),
             _tag("stream", "creation_time", colon, 1)))
     )
-    return (
-        base(spark, sf_dir)
-        .select("path", F.explode(rows).alias("row"))
-        .select("path", "row.*")
-    )
+    return files.select("path", F.explode(rows).alias("row")).select("path", "row.*")
 
 
 def container_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,17 +212,9 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", size.cast("bigint").alias("size"))
 
 
-@dataclass
-class Run:
+class Run(Inputs):
     """Everything one run works on."""
 
-    inventory: DataFrame
-    tags: DataFrame
-    ledger: DataFrame
-    listing: DataFrame
-    scan_errors: DataFrame
-    scratch: Scratch
-
     @property
     def mark(self) -> Column:
         return watermark_seconds(self.ledger)
@@ -234,16 +224,16 @@ class Run:
             self.inventory, self.tags, self.listing, self.ledger, self.mark, DEST
         )
 
-    def results(self) -> DataFrame:
-        return final_results(self.static(), self.scratch)
+    def results(self, scratch: Scratch | None = None) -> DataFrame:
+        scratch = scratch or Scratch(self.inventory.sparkSession)
+        return classify_run(self, self.mark, DEST, scratch)
 
 
 def run(spark: SparkSession, sf_dir: str) -> Run:
     return Run(
         faulty_inventory(spark, sf_dir),
         tags(spark, sf_dir),
-        ledger(spark, sf_dir),
         dest_listing(spark, sf_dir),
+        ledger(spark, sf_dir),
         scan_errors(spark, sf_dir),
-        Scratch(spark),
     )

@@ -91,10 +91,11 @@ def content_hash(spark, sf_dir):
 
 @query
 def month_partition_sink(spark, sf_dir):
-    run = fx.run(spark, sf_dir)
-    folder = f"{run.scratch.path}/payload"
+    scratch = Scratch(spark)
+    folder = f"{scratch.path}/payload"
     payload = fx.base(spark, sf_dir).select("path", "text")
-    sinks.write_months(sinks.accepted_payload(run.results(), payload), folder)
+    results = fx.run(spark, sf_dir).results(scratch)
+    sinks.write_months(sinks.accepted_payload(results, payload), folder)
     return spark.read.parquet(folder).select(
         F.col("month").cast("string").alias("month"),
         "path",
