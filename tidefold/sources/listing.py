@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidefold.session import Scratch
@@ -143,8 +144,8 @@ def hash_files(files: DataFrame, digest: str = "md5") -> DataFrame:
             yield batch.assign(hash=hashes, read_error=problems)
 
     files = files.drop("hash", "read_error")
-    schema = files.schema.add("hash", "string").add("read_error", "string")
-    return files.mapInPandas(digest_of, schema)
+    added = [T.StructField(name, T.StringType()) for name in ("hash", "read_error")]
+    return files.mapInPandas(digest_of, T.StructType(files.schema.fields + added))
 
 
 def dest_listing(inventory: DataFrame) -> DataFrame:

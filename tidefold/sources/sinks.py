@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefold.functions.states import COPIED
 
@@ -50,8 +51,8 @@ def with_content(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
                         yield row.assign(part=part, content=[content])
                         part, content = part + 1, source.read(part_bytes)
 
-    schema = rows.schema.add("part", "bigint").add("content", "binary")
-    return rows.mapInPandas(read, schema)
+    added = [T.StructField("part", T.LongType()), T.StructField("content", T.BinaryType())]
+    return rows.mapInPandas(read, T.StructType(rows.schema.fields + added))
 
 
 def write_files_by_month(results: DataFrame, folder: str) -> None:
