@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,8 +91,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(spark, sf_dir).select("dest_path").distinct()
+def dest_listing(ledger: DataFrame) -> DataFrame:
+    return ledger.select("dest_path").distinct()
 
 
 def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,9 +213,12 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", size.cast("bigint").alias("size"))
 
 
+@dataclass
 class Run(Inputs):
     """Everything one run works on."""
 
+    scratch: Scratch | None = None
+
     @property
     def mark(self) -> Column:
         return watermark_seconds(self.ledger)
@@ -224,16 +228,19 @@ class Run(Inputs):
             self.inventory, self.tags, self.listing, self.ledger, self.mark, DEST
         )
 
-    def results(self, scratch: Scratch | None = None) -> DataFrame:
-        scratch = scratch or Scratch(self.inventory.sparkSession)
-        return classify_run(self, self.mark, DEST, scratch)
+    def results(self) -> DataFrame:
+        return classify_run(self, self.mark, DEST, self.scratch)
 
 
 def run(spark: SparkSession, sf_dir: str) -> Run:
+    """A run against a written ledger, as any run but the first has one."""
+    scratch = Scratch(spark)
+    written = scratch.save(ledger(spark, sf_dir), "ledger")
     return Run(
         faulty_inventory(spark, sf_dir),
         tags(spark, sf_dir),
-        dest_listing(spark, sf_dir),
-        ledger(spark, sf_dir),
+        dest_listing(written),
+        written,
         scan_errors(spark, sf_dir),
+        scratch=scratch,
     )

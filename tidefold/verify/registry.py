@@ -91,11 +91,10 @@ def content_hash(spark, sf_dir):
 
 @query
 def month_partition_sink(spark, sf_dir):
-    scratch = Scratch(spark)
-    folder = f"{scratch.path}/payload"
+    run = fx.run(spark, sf_dir)
+    folder = f"{run.scratch.path}/payload"
     payload = fx.base(spark, sf_dir).select("path", "text")
-    results = fx.run(spark, sf_dir).results(scratch)
-    sinks.write_months(sinks.accepted_payload(results, payload), folder)
+    sinks.write_months(sinks.accepted_payload(run.results(), payload), folder)
     return spark.read.parquet(folder).select(
         F.col("month").cast("string").alias("month"),
         "path",
@@ -338,15 +337,14 @@ def ledger_duplicates(spark, sf_dir):
 @query
 def dest_exists(spark, sf_dir):
     rows = keyed_inventory(spark, sf_dir)
-    return lookups.dest_exists(rows, fx.dest_listing(spark, sf_dir)).select("path", "dest_path")
+    return lookups.dest_exists(rows, fx.dest_listing(fx.ledger(spark, sf_dir))).select("path", "dest_path")
 
 
 @query
 def new_content(spark, sf_dir):
-    rows = keyed_inventory(spark, sf_dir)
-    return lookups.new_content(
-        rows, fx.ledger(spark, sf_dir), fx.dest_listing(spark, sf_dir)
-    ).select("path", "dest_path", "hash")
+    rows, known = keyed_inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
+    fresh = lookups.new_content(rows, known, fx.dest_listing(known))
+    return fresh.select("path", "dest_path", "hash")
 
 
 @query
