@@ -150,7 +150,8 @@ def test_inventory_scan_reads_no_content(spark, tmp_path):
 
 def test_digests_of_files_and_columns_agree(spark, tmp_path):
     path = write(str(tmp_path), "a.bin", b"x" * 3_000_000)
-    files = spark.createDataFrame([(path,), ("/no/such",)], "path string")
+    rows = [(path, 3_000_000), ("/no/such", None)]
+    files = spark.createDataFrame(rows, "path string, size bigint")
     for digest in listing.DIGESTS:
         got = dict(values(listing.hash_files(files, digest), "path", "hash"))
         assert got == {path: hashlib.new(digest, b"x" * 3_000_000).hexdigest(), "/no/such": None}

@@ -108,9 +108,12 @@ def with_states(
 
 
 def with_rejected(settled: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Settled rows and the early rejected ones, as ``RESULT_COLUMNS``."""
-    missing = [name for name in RESULT_COLUMNS if name not in rejected.columns]
-    nothing = {name: F.lit(None).cast("string") for name in missing}
+    """Settled rows and the early rejected ones, as ``RESULT_COLUMNS``.
+
+    Rejected rows get no hash, so that content behind it is not read for them.
+    """
+    unknown = ("dest_path", "month", "hash", "existing_path", "error")
+    nothing = {name: F.lit(None).cast("string") for name in unknown}
     early = rejected.withColumns(nothing).select(*RESULT_COLUMNS)
     return settled.select(*RESULT_COLUMNS).unionByName(early)
 

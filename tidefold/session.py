@@ -16,6 +16,9 @@ SETTINGS = {
     # costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A task holding a few months writes them side by side, without first
+    # sorting the payload by month.
+    "spark.sql.maxConcurrentOutputFileWriters": "24",
 }
 
 

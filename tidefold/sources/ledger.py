@@ -43,8 +43,9 @@ def watermark_seconds(ledger: DataFrame, incremental: bool = True) -> Column:
     """
     if not incremental:
         return F.lit(MINUS_INFINITY).cast("bigint")
-    mark = watermark(ledger).select(F.unix_seconds("last_backup").alias("mark")).scalar()
-    return F.when(mark > 0, mark).otherwise(F.lit(MINUS_INFINITY).cast("bigint"))
+    seconds = F.unix_seconds("last_backup")
+    lowest = F.lit(MINUS_INFINITY).cast("bigint")
+    return watermark(ledger).select(F.when(seconds > 0, seconds).otherwise(lowest)).scalar()
 
 
 def ledger_status(ledger: DataFrame, as_of: datetime) -> DataFrame:
@@ -89,8 +90,12 @@ def ledger_rows(results: DataFrame, copied_at: datetime) -> DataFrame:
 
 
 def new_ledger_rows(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """What an append adds: the first row of each content not yet known."""
-    return first_per_hash(insert_or_ignore(rows, ledger)).select(*schemas.LEDGER.names)
+    """What an append adds: the first row of each content not yet known.
+
+    Reduced first: the lookup then meets each content once, whatever the number
+    of its copies, on the partitioning the reduction has made.
+    """
+    return insert_or_ignore(first_per_hash(rows), ledger).select(*schemas.LEDGER.names)
 
 
 def append_ledger(rows: DataFrame, ledger: DataFrame, path: str) -> None:

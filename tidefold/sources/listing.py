@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,14 +118,28 @@ def walk_tree(spark: SparkSession, root: str, scratch: Scratch) -> tuple[DataFra
     return inventory, errors
 
 
+# Content one task reads.
+TASK_BYTES = 1 << 30
+
+
+def tasks_for_content(files: DataFrame, at_least: int = 1) -> int:
+    """Tasks for reading all files, by the bytes they hold: rows of a listing
+    are small, so partitions sized by rows would read far too much each."""
+    total = files.agg(F.sum("size")).first()[0] or 0
+    return max(at_least, ceil(total / TASK_BYTES))
+
+
 def hash_files(files: DataFrame, digest: str = "md5") -> DataFrame:
     """Add ``hash`` and ``read_error`` by reading each file in pieces.
 
     For files beyond the 2 GiB a binary column can hold. Only paths and digests
-    move; content is read once, inside the task.
+    move; content is read once, inside the task. The files (``path, size, ...``)
+    are spread by path over as many tasks as their content needs.
     """
     if digest not in DIGESTS:
         raise ValueError(f"digest must be one of {DIGESTS}")
+    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = files.repartition(tasks_for_content(files, width), "path")
 
     def digest_of(batches):
         import hashlib

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefold.functions.states import COPIED
+from tidefold.sources.listing import tasks_for_content
 
 ACCEPTED = ("path", "dest_path", "month", "hash", "size", "mtime")
 
@@ -43,13 +44,22 @@ def with_content(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for at in range(len(batch)):
-                row = batch.iloc[[at]]
-                with open(row["path"].iloc[0], "rb") as source:
+            at, parts, contents, held = [], [], [], 0
+            for position, path in enumerate(batch["path"]):
+                with open(path, "rb") as source:
                     part, content = 0, source.read(part_bytes)
                     while content or part == 0:
-                        yield row.assign(part=part, content=[content])
+                        at.append(position)
+                        parts.append(part)
+                        contents.append(content)
+                        held += len(content)
+                        # Small files leave together, a large one in pieces.
+                        if held >= part_bytes:
+                            yield batch.iloc[at].assign(part=parts, content=contents)
+                            at, parts, contents, held = [], [], [], 0
                         part, content = part + 1, source.read(part_bytes)
+            if at:
+                yield batch.iloc[at].assign(part=parts, content=contents)
 
     added = [T.StructField("part", T.LongType()), T.StructField("content", T.BinaryType())]
     return rows.mapInPandas(read, T.StructType(rows.schema.fields + added))
@@ -58,11 +68,12 @@ def with_content(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 def write_files_by_month(results: DataFrame, folder: str) -> None:
     """Append the content of the copied files under ``month=YYYY-MM``.
 
-    Only the accepted rows are balanced over tasks; content is read where it is
-    written and never shuffled.
+    Only the accepted rows are spread over tasks, by month and path, as many as
+    their content needs; content is read where it is written and never shuffled.
     """
-    balanced = accepted(results).hint("rebalance", "month")
-    with_content(balanced).write.mode("append").partitionBy("month").parquet(folder)
+    rows = accepted(results)
+    spread = rows.repartitionByRange(tasks_for_content(rows), "month", "path")
+    with_content(spread).write.mode("append").partitionBy("month").parquet(folder)
 
 
 def write_report(rows: DataFrame, folder: str, form: str = "parquet") -> None:
