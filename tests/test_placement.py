@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -12,9 +13,10 @@ from tidefold.verify import fixtures as fx
 from tidefold.verify import registry
 
 
-def place(spark, rows, hot_rows=200_000):
+def place(spark, rows, **options):
     df = spark.createDataFrame(rows, "path string, dest_path string, hash string")
-    placed = greedy_placement(df, Scratch(spark), hot_rows)
+    scratch = Scratch(spark)
+    placed = greedy_placement(df, scratch, **options)
     return {path: (s, e) for path, s, e in values(placed, "path", "state", "existing_path")}
 
 
@@ -35,6 +37,20 @@ def test_chain(spark):
     assert place(spark, rows) == sequential_placement(rows)
 
 
+def rotated(days):
+    """Each day every file moves on by one number and a new one comes first."""
+    return [
+        (f"/day{day:03}/{number:03}", f"d{number}", f"h{day - number}")
+        for day in range(days) for number in range(day + 1)
+    ]
+
+
+@pytest.mark.parametrize("patience", [2, 100])
+def test_rotation_in_rounds_and_walked_at_the_end(spark, patience):
+    rows = rotated(10)
+    assert place(spark, rows, patience=patience) == sequential_placement(rows)
+
+
 def test_no_rows(spark):
     assert place(spark, []) == {}
 
@@ -114,3 +130,11 @@ def test_hot_splits_leave_a_whole_run_unchanged(spark):
     assert sorted(map(str, split.select(*plain.columns).collect())) == sorted(
         map(str, plain.collect())
     )
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    scratch = Scratch(spark)
+    scratch.save(spark.range(3), "three")
+    assert os.path.isdir(scratch.path)
+    scratch.drop()
+    assert not os.path.exists(scratch.path)

@@ -25,6 +25,11 @@ from tidefold.session import Scratch
 
 log = logging.getLogger(__name__)
 
+# After this many rounds what is left is chains, which a round shortens by one
+# step only. Once they are few rows, by count, one task walks them.
+PATIENCE = 8
+REST_ROWS = 100_000
+
 
 def number_in_walk_order(rows: DataFrame) -> DataFrame:
     """Add ``place``, increasing in walk order.
@@ -45,8 +50,31 @@ def _first_per(edges: DataFrame, key: str) -> DataFrame:
     return edges.groupBy(key).agg(F.min("place").alias("place"))
 
 
+def _certain(edges: DataFrame) -> DataFrame:
+    """Rows that come first both at their destination and for their content."""
+    return _first_per(edges, "dest_path").join(_first_per(edges, "hash"), "place")
+
+
+def _walk_rest(edges: DataFrame) -> DataFrame:
+    """Rows of a small remainder that get copied, by walking it in one task."""
+
+    def walk(batches):
+        dests, hashes = set(), set()
+        for batch in batches:
+            won = []
+            for dest, digest in zip(batch["dest_path"], batch["hash"]):
+                won.append(dest not in dests and digest not in hashes)
+                if won[-1]:
+                    dests.add(dest)
+                    hashes.add(digest)
+            yield batch[won]
+
+    in_order = edges.coalesce(1).sortWithinPartitions("place")
+    return in_order.mapInPandas(walk, edges.schema)
+
+
 def greedy_placement(
-    candidates: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS
+    candidates: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS, patience: int = PATIENCE
 ) -> DataFrame:
     """Candidates (``path, dest_path, hash, ...``) with ``state`` and
     ``existing_path`` settled; all other columns are kept.
@@ -54,7 +82,8 @@ def greedy_placement(
     Per round: two combined aggregations, one join of their results on the row
     number, and two anti joins split on hot keys. Each round is written to the
     shared folder, so a lost executor never replays earlier rounds. Rounds run
-    until no row is left; they are few unless rows form long chains.
+    until no row is left; they are few unless rows form long chains, the last
+    ``REST_ROWS`` rows of which are walked in one go.
     """
     numbered, seen = scratch.save_measured(
         number_in_walk_order(candidates.drop("state", "existing_path")),
@@ -69,9 +98,11 @@ def greedy_placement(
     left, rounds = seen["rows"], 0
     while left:
         rounds += 1
-        firsts = _first_per(edges, "dest_path").join(_first_per(edges, "hash"), "place")
-        won = scratch.save(firsts, f"won-{rounds}")
+        last = rounds > patience and left <= REST_ROWS
+        won = scratch.save(_walk_rest(edges) if last else _certain(edges), f"won-{rounds}")
         accepted = won if accepted is None else accepted.unionByName(won)
+        if last:
+            break
         open_dest = balanced_join(edges, won.select("dest_path"), "left_anti", hot_dest, "place")
         still_open = balanced_join(open_dest, won.select("hash"), "left_anti", hot_hash, "place")
         edges, seen = scratch.save_measured(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.functions.paths import relative_path
+from tidefold.functions.paths import relative_path, walk_key
 from tidefold.functions.states import error_message, status_of, walk_error_message
 from tidefold.functions.text import human_size
 
@@ -46,12 +46,15 @@ def report_rows(
 
 
 def report_sort(report: DataFrame, by: str = "path", ascending: bool = True) -> DataFrame:
-    """Sorted by one column; sizes by bytes, texts by code point. A range
-    partitioned sort, so no task holds the whole report."""
+    """Sorted by one column; sizes by bytes, texts by code point.
+
+    Rows that tie follow the walk. Beside a fixed order this gives the range
+    partitioning a key it can split: most rows may share one status or size.
+    """
     if by not in SORT_COLUMNS:
         raise ValueError(f"sort by one of {SORT_COLUMNS}")
     key = F.coalesce("size", F.lit(0)) if by == "size" else F.col(by)
-    return report.orderBy(key.asc() if ascending else key.desc())
+    return report.orderBy(key.asc() if ascending else key.desc(), walk_key(F.col("path")))
 
 
 def error_rows(results: DataFrame, scan_errors: DataFrame) -> DataFrame:

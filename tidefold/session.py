@@ -86,3 +86,9 @@ class Scratch:
         seen = Observation()
         saved = self.save(df.observe(seen, *metrics), name)
         return saved, seen.get
+
+    def drop(self) -> None:
+        """Delete the tables, once nothing made from them is needed any more."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder.getFileSystem(conf).delete(folder, True)
