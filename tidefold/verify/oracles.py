@@ -67,7 +67,7 @@ def _ago(seconds: str) -> str:
 def _placement(rows: str, name: str) -> str:
     """Views that walk rows one by one, carrying the keys taken so far."""
     return f"""
-{name}_ordered AS (
+{name}_ordered AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY string_split(path, '/')) AS n, path, dest_path, hash
   FROM {rows}
 ),
