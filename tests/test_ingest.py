@@ -2,18 +2,20 @@
 
 import hashlib
 import os
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
-from helpers import values
+from helpers import sf, values
 from pyspark.sql import functions as F
 
 from tidefold import schemas
 from tidefold.functions import states
-from tidefold.plans.ingest import Target, run_ingest, scan_inputs
+from tidefold.operators import accounting
+from tidefold.plans.ingest import Inputs, Target, run_ingest, scan_inputs
 from tidefold.session import Scratch
 from tidefold.sources import ledger as ledgers
 from tidefold.sources import listing, sinks
+from tidefold.verify import fixtures as fx
 
 FIRST = datetime(2023, 8, 1, tzinfo=timezone.utc)
 LATER = datetime(2023, 9, 1, tzinfo=timezone.utc)
@@ -39,7 +41,8 @@ def place(tmp_path):
     write(source, "b/one.jpg", b"other")
     write(source, "b/notes.txt", b"text")
     write(source, ".hidden/three.png", b"three")
-    target = Target("/backup", *(str(tmp_path / name) for name in ("payload", "ledger", "report")))
+    tables = [str(tmp_path / name) for name in ("payload", "ledger", "report")]
+    target = Target("/backup", *tables, source_folder=source)
     return source, target
 
 
@@ -85,7 +88,15 @@ def test_a_first_run(spark, place):
     assert {row["hash"] for row in ledger.collect()} == {
         hashlib.md5(content).hexdigest() for content in (b"one", b"two", b"three")
     }
-    assert spark.read.parquet(target.report_table).count() == 6
+    told = {
+        name: spark.read.parquet(f"{target.report_folder}/{name}").collect()
+        for name in ("rows", "summary", "badges", "recency")
+    }
+    shown = {(row["path"], row["destination"]) for row in told["rows"]}
+    assert len(shown) == 6 and ("photos/a/one.jpg", "backup/2023-06/one.jpg") in shown
+    assert told["summary"][0]["outcome"] == "duplicates"
+    assert told["badges"][0]["data_size"] == "11 B"
+    assert told["recency"][0].asDict() == {"recency": "first", "span": "3 months"}
 
 
 @pytest.mark.parametrize("incremental", [True, False])
@@ -105,6 +116,43 @@ def test_a_second_run_copies_only_what_is_new(spark, place, incremental):
     assert ledger.count() == ledger.select("hash").distinct().count() == 4
 
 
+@pytest.mark.parametrize("incremental", [True, False])
+def test_documents_with_a_payload_table(spark, tmp_path, incremental):
+    """A run over tables writes each content once, and a second one nothing."""
+    tables = [str(tmp_path / name) for name in ("payload", "ledger", "report")]
+    target = Target(fx.DEST, *tables)
+    payload = fx.base(spark, sf("0.001")).select("path", "text")
+    copied = []
+    for as_of in (fx.AS_OF, fx.AS_OF + timedelta(days=1)):
+        inputs = Inputs(
+            fx.faulty_inventory(spark, sf("0.001")),
+            fx.tags(spark, sf("0.001")),
+            listing.taken_keys(spark, target.payload_table),
+            ledgers.open_ledger(spark, target.ledger_table),
+            fx.scan_errors(spark, sf("0.001")),
+            payload,
+        )
+        outcome = run_ingest(spark, inputs, target, as_of, PLENTY, incremental)
+        copied.append(outcome.summary.first()["copied"])
+        assert accounting.reconciliation(outcome.summary).first()["reconciled"]
+    assert copied[0] > 100 and copied[1] == 0
+    written = spark.read.parquet(target.payload_table)
+    ledger = ledgers.open_ledger(spark, target.ledger_table)
+    for column in ("dest_path", "hash"):
+        assert written.select(column).distinct().count() == written.count() == copied[0]
+    assert written.where(F.md5("text") != F.col("hash")).count() == 0
+    assert ledger.join(written, ["hash", "dest_path"]).count() == ledger.count() == copied[0]
+
+
+def test_another_digest(spark, place):
+    source, target = place
+    scratch = Scratch(spark)
+    inputs = scan_inputs(spark, source, target.payload_table, target.ledger_table, scratch)
+    run_ingest(spark, inputs, target, FIRST, PLENTY, scratch=scratch, digest="sha256")
+    hashes = {row["hash"] for row in ledgers.open_ledger(spark, target.ledger_table).collect()}
+    assert hashlib.sha256(b"two").hexdigest() in hashes
+
+
 def test_too_little_space_ends_the_run(spark, place):
     source, target = place
     outcome = ingest(spark, source, target, FIRST, available=100 * 1024 * 1024)

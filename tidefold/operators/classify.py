@@ -73,11 +73,12 @@ def split_early(inventory: DataFrame, mark: Column) -> tuple[DataFrame, DataFram
 
 
 def with_destination(dated: DataFrame, dest_folder: str) -> DataFrame:
+    """Month and destination in place of the date they are made from."""
     month = month_of(F.col("date_wall"))
     return dated.withColumns({
         "month": month,
         "dest_path": destination(dest_folder, month, F.col("path")),
-    })
+    }).drop("date_wall", "confidence", "source")
 
 
 def with_states(
@@ -91,7 +92,8 @@ def with_states(
     if "read_error" not in looked_up.columns:
         looked_up = looked_up.withColumn("read_error", F.lit(None).cast("string"))
     readable = F.col("read_error").isNull() & F.col("hash").isNotNull()
-    before_hash = F.when(F.col("date_wall").isNull(), states.SKIPPED_NO_DATE).when(
+    # Without a date there is no destination.
+    before_hash = F.when(F.col("dest_path").isNull(), states.SKIPPED_NO_DATE).when(
         F.col("dest_taken"), states.SKIPPED_DEST_EXISTS
     )
     matched = with_known_copy(looked_up, ledger, before_hash.isNull() & readable, hot_hash)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -39,12 +40,17 @@ class Inputs:
 
 @dataclass
 class Target:
-    """Where a run writes, and how destinations are named."""
+    """Where a run writes, and how destinations and report paths are named.
+
+    Below ``report_folder`` a run leaves ``rows``, ``summary``, ``badges`` and
+    ``recency``.
+    """
 
     dest_folder: str
     payload_table: str
     ledger_table: str
-    report_table: str
+    report_folder: str
+    source_folder: str = ""
 
 
 @dataclass
@@ -62,6 +68,7 @@ def classify_run(
     dest_folder: str,
     scratch: Scratch,
     hot_rows: int = HOT_ROWS,
+    digest: str = "md5",
 ) -> DataFrame:
     """Final results of a run, in stages cut where a measure pays.
 
@@ -78,10 +85,10 @@ def classify_run(
     looked_up = with_dest_taken(keyed, inputs.listing, hot_dest)
     if "hash" not in inputs.inventory.columns:
         looked_up = scratch.save(looked_up, "looked-up")
-        still_open = F.col("date_wall").isNotNull() & ~F.col("dest_taken")
+        still_open = F.col("dest_path").isNotNull() & ~F.col("dest_taken")
         nothing = F.lit(None).cast("string")
         closed = looked_up.where(~still_open).withColumns({"hash": nothing, "read_error": nothing})
-        hashed = listings.hash_files(looked_up.where(still_open))
+        hashed = listings.hash_files(looked_up.where(still_open), digest)
         looked_up = scratch.save(hashed.unionByName(closed), "hashed")
     hot_hash = measure_hot_keys(
         looked_up if "hash" not in keyed.columns else keyed, "hash", seen["rows"], hot_rows
@@ -122,9 +129,12 @@ def run_ingest(
     available_bytes: int,
     incremental: bool = True,
     scratch: Scratch | None = None,
+    digest: str = "md5",
 ) -> Outcome:
     """One run. The ledger is appended after the payload is committed, so a run
-    that fails in between finds the written destinations taken next time."""
+    that fails in between finds the written destinations taken next time. All
+    runs on one ledger need the same digest."""
+    begin = time.monotonic()
     scratch = scratch or Scratch(spark)
     mark = ledgers.watermark_seconds(inputs.ledger, incremental)
     gate = scratch.save(
@@ -133,7 +143,8 @@ def run_ingest(
     if not gate.first()["sufficient"]:
         return Outcome(gate)
 
-    results = scratch.save(classify_run(inputs, mark, target.dest_folder, scratch), "results")
+    classified = classify_run(inputs, mark, target.dest_folder, scratch, digest=digest)
+    results = scratch.save(classified, "results")
     if inputs.payload is None:
         sinks.write_files_by_month(results, target.payload_table)
     else:
@@ -142,10 +153,30 @@ def run_ingest(
 
     # Summary and report describe the run as it was before its own append.
     summary = scratch.save(accounting.accounting_summary(results, inputs.scan_errors), "summary")
-    root = target.dest_folder
-    rows = report.report_rows(results, inputs.scan_errors, "", root)
-    sinks.write_report(rows, target.report_table)
+    seconds = time.monotonic() - begin
+    write_run_report(inputs, target, results, summary, as_of, incremental, seconds)
     ledgers.append_ledger(
         ledgers.ledger_rows(results, as_of), inputs.ledger, target.ledger_table
     )
     return Outcome(gate, results, summary)
+
+
+def write_run_report(
+    inputs: Inputs,
+    target: Target,
+    results: DataFrame,
+    summary: DataFrame,
+    as_of: datetime,
+    incremental: bool,
+    seconds: float,
+) -> None:
+    errors = inputs.scan_errors
+    context = accounting.run_context(results, errors, inputs.ledger, incremental, as_of)
+    tables = {
+        "rows": report.report_rows(results, errors, target.source_folder, target.dest_folder),
+        "summary": accounting.outcome_bucket(summary),
+        "badges": accounting.report_badges(results, errors, seconds),
+        "recency": accounting.recency_bucket(context, as_of),
+    }
+    for name, table in tables.items():
+        sinks.write_report(table, f"{target.report_folder}/{name}")

@@ -16,6 +16,9 @@ SETTINGS = {
     # costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Where every partition of the smaller side is this small, by its measured
+    # size, the join hashes it instead of sorting both sides by long paths.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # A task holding a few months writes them side by side, without first
     # sorting the payload by month.
     "spark.sql.maxConcurrentOutputFileWriters": "24",

@@ -37,7 +37,7 @@ def query(function: Query) -> Query:
 def keyed_inventory(spark, sf_dir):
     """Inventory with its destination by mtime month."""
     dated = fx.inventory(spark, sf_dir).withColumn("date_wall", dates.wall_clock(F.col("mtime")))
-    return classify.with_destination(dated, fx.DEST).drop("date_wall")
+    return classify.with_destination(dated, fx.DEST)
 
 
 def dated_inventory(spark, sf_dir):
