@@ -97,7 +97,8 @@ def test_context_and_recency(spark):
 
 
 def test_capacity(spark):
-    estimate = spark.createDataFrame([(3, 2, 1024)], "files_found long, files_to_copy long, estimated_bytes long")
+    columns = "files_found long, files_to_copy long, estimated_bytes long"
+    estimate = spark.createDataFrame([(3, 2, 1024)], columns)
     need = 1024 + 100 * 1024 * 1024
     for available, enough in ((need, True), (need - 1, False)):
         got = accounting.capacity_gate(estimate, available).first()

@@ -79,3 +79,26 @@ def test_duplicate_groups_and_ledger_rows_combine_before_shuffling(spark):
 def test_the_shared_folder_is_the_configured_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert not named or shared_folder(spark) == named.rstrip("/")
+
+
+class Unset:
+    """A session without the setting, with a context that remembers its folder."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext, self.master, self.folder = self, self, master, None
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_without_a_shared_folder_only_a_local_session_makes_its_own():
+    local = Unset("local[2]")
+    assert shared_folder(local) == shared_folder(local) == local.folder
+    with pytest.raises(ValueError):
+        shared_folder(Unset("spark://host:7077"))

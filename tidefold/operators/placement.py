@@ -136,7 +136,7 @@ def _label(
             # come later, and lost to their destination or to that copy.
             F.when(F.col("_hash_place") == place, states.COPIED)
             .when(F.col("_dest_place") < place, states.SKIPPED_DEST_EXISTS)
-            .otherwise(states.DUPLICATE),
+            .when(F.col("_hash_place") < place, states.DUPLICATE),
         )
         .withColumn("existing_path", F.when(F.col("state") == states.DUPLICATE, F.col("_copy")))
         .drop("place", "_dest_place", "_hash_place", "_copy")

@@ -21,7 +21,7 @@ SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # A task holding a few months writes them side by side, without first
     # sorting the payload by month.
-    "spark.sql.maxConcurrentOutputFileWriters": "24",
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 
@@ -57,14 +57,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session may fall back to a folder of its own: on a
     cluster a machine-local folder would be lost with its executor.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidefold-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidefold-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 class Scratch:

@@ -38,7 +38,8 @@ def _size_text(size: str) -> str:
     for power, unit in enumerate("KMGTPE", start=1):
         test = f"WHEN {size} < {1024 ** (power + 1)}" if power < 6 else "ELSE"
         then = "THEN " if power < 6 else ""
-        cases.append(f"{test} {then}printf('%.1f', {size} / {1024 ** power}.0::DOUBLE) || ' {unit}B'")
+        shown = f"printf('%.1f', {size} / {1024 ** power}.0::DOUBLE) || ' {unit}B'"
+        cases.append(f"{test} {then}{shown}")
     return f"CASE {' '.join(cases)} END"
 
 
@@ -94,8 +95,8 @@ base AS (
   SELECT doc_id,
     '/src/' || source || '/b' || (doc_id // 240) || '/IMG_'
       || printf('%06d', CASE WHEN doc_id % 9 = 0 THEN greatest(doc_id - 12, 0) ELSE doc_id END)
-      || (['.jpg','.JPG','.jpeg','.heic','.png','.mp4','.MOV','.mkv','.webm','.avi','.txt','.heif'])[doc_id % 12 + 1]
-      AS path,
+      || (['.jpg','.JPG','.jpeg','.heic','.png','.mp4','.MOV','.mkv','.webm','.avi','.txt',
+           '.heif'])[doc_id % 12 + 1] AS path,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 7919 % 86400) AS mtime,
     strlen(text)::BIGINT AS size, md5(text) AS hash, text
   FROM documents
