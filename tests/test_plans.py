@@ -7,7 +7,7 @@ from helpers import sf
 from pyspark.sql import functions as F
 
 from tidefold.functions.paths import walk_key
-from tidefold.operators import accounting, dating, filters
+from tidefold.operators import accounting, classify, dating, filters
 from tidefold.operators.placement import _first_per, number_in_walk_order
 from tidefold.session import Scratch, shared_folder
 from tidefold.sources import ledger as ledgers
@@ -62,6 +62,15 @@ def test_placement_aggregates_in_place_before_its_shuffle(spark):
     assert "partial_min(place" in text and "SortAggregate" not in text
 
 
+def test_totals_equal_the_sum_of_planned_rows_and_combine_first(spark):
+    run = fx.run(spark, SF)
+    inputs = (run.inventory, run.listing, run.mark, fx.DEST)
+    totals = classify.plan_totals(*inputs)
+    rows = accounting.plan_estimate(classify.plan_classification(*inputs))
+    assert totals.collect() == rows.collect()
+    assert "partial_count" in plan(totals) and "Union" not in plan(totals)
+
+
 def test_places_follow_the_walk(spark):
     rows = number_in_walk_order(fx.inventory(spark, SF).repartition(5).select("path"))
     by_place = [row[0] for row in Scratch(spark).save(rows, "n").orderBy("place").collect()]

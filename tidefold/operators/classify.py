@@ -29,13 +29,12 @@ RESULT_COLUMNS = (
 )
 
 
-def plan_classification(
-    inventory: DataFrame, listing: DataFrame, mark: Column, dest_folder: str
-) -> DataFrame:
-    """The estimate made before a run: by mtime month, without tags or hashes."""
+def _planned(inventory: DataFrame, mark: Column, dest_folder: str) -> DataFrame:
+    """``path, size, early`` and the destination by mtime month; ``early`` is the
+    reason of rows that need no look at the destination."""
     path, mtime = F.col("path"), F.col("mtime")
     wall = F.when(wall_clock(mtime) != ZERO_DATE, wall_clock(mtime))
-    judged = inventory.select(
+    return inventory.select(
         "path",
         "size",
         destination(dest_folder, month_of(wall), path).alias("dest_path"),
@@ -44,8 +43,21 @@ def plan_classification(
         .when(wall.isNull(), REASON_NO_DATE)
         .alias("early"),
     )
-    rejected = judged.where("early is not null").select("path", "size", F.col("early").alias("reason"))
-    looked_up = with_dest_taken(judged.where("early is null"), listing).select(
+
+
+def plan_classification(
+    inventory: DataFrame,
+    listing: DataFrame,
+    mark: Column,
+    dest_folder: str,
+    hot_dest: HotKeys | None = None,
+) -> DataFrame:
+    """The estimate made before a run: by mtime month, without tags or hashes."""
+    judged = _planned(inventory, mark, dest_folder)
+    rejected = judged.where("early is not null").select(
+        "path", "size", F.col("early").alias("reason")
+    )
+    looked_up = with_dest_taken(judged.where("early is null"), listing, hot_dest).select(
         "path",
         "size",
         F.when(F.col("dest_taken"), REASON_EXISTS).otherwise(REASON_READY).alias("reason"),
@@ -59,6 +71,33 @@ def plan_classification(
     )
 
 
+def plan_totals(
+    inventory: DataFrame, listing: DataFrame, mark: Column, dest_folder: str
+) -> DataFrame:
+    """The totals of that estimate alone: one row.
+
+    Rows are summed by destination before they are looked up, so each task sends
+    one row per destination however many files share it; rejected rows make up
+    one more group.
+    """
+    judged = _planned(inventory, mark, dest_folder)
+    open_dest = F.when(F.col("early").isNull(), F.col("dest_path"))
+    by_dest = judged.groupBy(open_dest.alias("dest_path")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")
+    )
+    taken = listing.distinct().withColumn("taken", F.lit(True))
+    copies = F.col("dest_path").isNotNull() & F.col("taken").isNull()
+
+    def total(column: Column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+
+    return by_dest.join(taken, "dest_path", "left").agg(
+        total(F.col("files")).alias("files_found"),
+        total(F.when(copies, F.col("files"))).alias("files_to_copy"),
+        total(F.when(copies, F.col("bytes"))).alias("estimated_bytes"),
+    )
+
+
 def early_state(path: Column, mtime: Column, mark: Column) -> Column:
     """State by extension and age alone, or null if those let the row pass."""
     return F.when(~allowed(path), states.SKIPPED_EXTENSION).when(

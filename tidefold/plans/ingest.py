@@ -101,8 +101,8 @@ def estimate_run(
     inputs: Inputs, mark: Column, dest_folder: str, available_bytes: int
 ) -> DataFrame:
     """The space check made before anything is hashed or written."""
-    planned = classify.plan_classification(inputs.inventory, inputs.listing, mark, dest_folder)
-    return accounting.capacity_gate(accounting.plan_estimate(planned), available_bytes)
+    totals = classify.plan_totals(inputs.inventory, inputs.listing, mark, dest_folder)
+    return accounting.capacity_gate(totals, available_bytes)
 
 
 def scan_inputs(

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidefold.functions.dates import EXTRACTORS, wall_clock
 from tidefold.functions.paths import ALLOWED_EXTENSIONS, destination, extension
@@ -30,8 +31,15 @@ SUFFIXES = (
 MONTH_EDGE = "2024-01-31T23:30:00-05:00"
 
 
+SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is looked up in the file once only."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tidefold.operators import (
     placement,
     report,
 )
+from tidefold.plans.ingest import estimate_run
 from tidefold.session import Scratch
 from tidefold.sources import ledger as ledgers
 from tidefold.sources import listing, sinks
@@ -399,7 +400,8 @@ def plan_estimate(spark, sf_dir):
 
 @query
 def capacity_gate(spark, sf_dir):
-    return accounting.capacity_gate(plan_estimate(spark, sf_dir), fx.AVAILABLE_BYTES)
+    run = fx.run(spark, sf_dir)
+    return estimate_run(run, run.mark, fx.DEST, fx.AVAILABLE_BYTES)
 
 
 @query
