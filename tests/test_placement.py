@@ -6,6 +6,7 @@ from helpers import sequential_placement, sf, values
 from pyspark.sql import functions as F
 
 from tidefold.functions import states
+from tidefold.operators import lookups
 from tidefold.operators.placement import greedy_placement
 from tidefold.operators.skew import HotKeys, balanced_join, measure_hot_keys
 from tidefold.session import Scratch
@@ -109,6 +110,22 @@ def test_balanced_join_equals_the_plain_join(spark, how):
     assert sorted(map(str, plain.collect())) == sorted(map(str, split.select(*plain.columns).collect()))
 
 
+def test_lookups_split_on_measured_keys_find_the_same_rows(spark):
+    rows, known = registry.keyed_inventory(spark, sf("0.001")), fx.ledger(spark, sf("0.001"))
+    listed = fx.dest_listing(known)
+    by_hash = measure_hot_keys(rows, "hash", hot_rows=1)
+    # No destination outweighs a partition here; any key may be split.
+    by_dest = HotKeys("dest_path", tuple(d for (d,) in values(listed, "dest_path")), 3)
+    for lookup, args, hot in (
+        (lookups.ledger_duplicates, (known,), (by_hash,)),
+        (lookups.insert_or_ignore, (known,), (by_hash,)),
+        (lookups.dest_exists, (listed,), (by_dest,)),
+        (lookups.new_content, (known, listed), (by_hash, by_dest)),
+    ):
+        plain = sorted(values(lookup(rows, *args), "path"))
+        assert plain and plain == sorted(values(lookup(rows, *args, *hot), "path"))
+
+
 def test_published_counts_with_mtime_months(spark):
     """Final states of the fixture with the month taken from mtime."""
     run = fx.run(spark, sf("0.01"))

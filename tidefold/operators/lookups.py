@@ -1,5 +1,8 @@
 """Lookups against what earlier runs left: the ledger and the destination.
 
+Given the measured hot keys of the rows, a lookup splits them; without, that is
+left to AQE.
+
 All are equi-joins against a side with unique keys. Whether that side is
 broadcast is left to the measured size. Rows that need no lookup get a key of
 their own: a null key would send them all to one task.
@@ -72,3 +75,11 @@ def new_content(
     hashes = known_hashes(ledger).select("hash")
     fresh = balanced_join(rows, hashes, "left_anti", hot_hash or HotKeys("hash"), "path")
     return balanced_join(fresh, listing, "left_anti", hot_dest or HotKeys("dest_path"), "path")
+
+
+def insert_or_ignore(
+    rows: DataFrame, ledger: DataFrame, hot: HotKeys | None = None
+) -> DataFrame:
+    """Drop rows whose content the ledger already holds."""
+    hashes = known_hashes(ledger).select("hash")
+    return balanced_join(rows, hashes, "left_anti", hot or HotKeys("hash"), "path")

@@ -30,7 +30,7 @@ class HotKeys:
 
 
 def measure_hot_keys(
-    df: DataFrame, column: str, rows: int, hot_rows: int = HOT_ROWS
+    df: DataFrame, column: str, rows: int | None = None, hot_rows: int = HOT_ROWS
 ) -> HotKeys:
     """Keys that outweigh an average shuffle partition.
 
@@ -38,6 +38,7 @@ def measure_hot_keys(
     keys as shuffle partitions, which bounds what reaches the driver; a table
     too small to hold any is not read.
     """
+    rows = df.count() if rows is None else rows
     if rows <= hot_rows:
         return HotKeys(column)
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -61,11 +61,6 @@ def ledger_status(ledger: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def insert_or_ignore(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Drop rows whose content the ledger already holds."""
-    return rows.join(known_hashes(ledger).select("hash"), "hash", "left_anti")
-
-
 def first_per_hash(rows: DataFrame) -> DataFrame:
     """Of rows with the same content keep the one a walk meets first.
 
@@ -95,7 +90,9 @@ def new_ledger_rows(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     Reduced first: the lookup then meets each content once, whatever the number
     of its copies, on the partitioning the reduction has made.
     """
-    return insert_or_ignore(first_per_hash(rows), ledger).select(*schemas.LEDGER.names)
+    known = known_hashes(ledger).select("hash")
+    fresh = first_per_hash(rows).join(known, "hash", "left_anti")
+    return fresh.select(*schemas.LEDGER.names)
 
 
 def append_ledger(rows: DataFrame, ledger: DataFrame, path: str) -> None:

@@ -17,6 +17,7 @@ from tidefold.operators import (
     placement,
     report,
 )
+from tidefold.operators.skew import measure_hot_keys
 from tidefold.plans.ingest import estimate_run
 from tidefold.session import Scratch
 from tidefold.sources import ledger as ledgers
@@ -329,29 +330,31 @@ def date_source_profile(spark, sf_dir):
 
 @query
 def ledger_duplicates(spark, sf_dir):
-    rows = fx.inventory(spark, sf_dir)
-    return lookups.ledger_duplicates(rows, fx.ledger(spark, sf_dir)).select(
-        "path", "hash", "existing_path"
-    )
+    rows, known = fx.inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
+    found = lookups.ledger_duplicates(rows, known, measure_hot_keys(rows, "hash"))
+    return found.select("path", "hash", "existing_path")
 
 
 @query
 def dest_exists(spark, sf_dir):
-    rows = keyed_inventory(spark, sf_dir)
-    return lookups.dest_exists(rows, fx.dest_listing(fx.ledger(spark, sf_dir))).select("path", "dest_path")
+    rows, listed = keyed_inventory(spark, sf_dir), fx.dest_listing(fx.ledger(spark, sf_dir))
+    found = lookups.dest_exists(rows, listed, measure_hot_keys(rows, "dest_path"))
+    return found.select("path", "dest_path")
 
 
 @query
 def new_content(spark, sf_dir):
     rows, known = keyed_inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
-    fresh = lookups.new_content(rows, known, fx.dest_listing(known))
+    hot = [measure_hot_keys(rows, column) for column in ("hash", "dest_path")]
+    fresh = lookups.new_content(rows, known, fx.dest_listing(known), *hot)
     return fresh.select("path", "dest_path", "hash")
 
 
 @query
 def insert_or_ignore(spark, sf_dir):
-    rows = fx.inventory(spark, sf_dir)
-    return ledgers.insert_or_ignore(rows, fx.ledger(spark, sf_dir)).select("path", "hash")
+    rows, known = fx.inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
+    kept = lookups.insert_or_ignore(rows, known, measure_hot_keys(rows, "hash"))
+    return kept.select("path", "hash")
 
 
 # Classification and placement
