@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidefold.llm.common import table
+from tidefold.llm.language_id import held_out, identify, learn
 from tidefold.llm.mixing import mix_sources
+from tidefold.llm.tokens import token_counts
 from tidefold.llm.url_filter import filter_urls
 
 
@@ -13,12 +15,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = identify(docs.select("doc_id", "text"), learn(docs))
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op6_language_id": op6_language_id,
     "op8_source_mixing": op8_source_mixing,
+    "op9_token_counts": op9_token_counts,
 }
