@@ -35,26 +35,43 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 BLOCK_BYTES = 8 << 20
 KNOWN_TERMS = 400_000
+# Marks that may follow a word; a run of them is one unit of merging.
+MARKS = ".,;:!?"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 _UNSAFE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
 
-def json_counter(file: str):
-    """Pieces of each string, by a tokenizer kept as .json."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
-    from tokenizers import Tokenizer
+class JsonPieces:
+    """Piece counts by a tokenizer kept as .json."""
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-    def count(texts: list[str]) -> list[int]:
-        return list(map(len, tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        # The visible character that stands for each byte, as the tokenizer itself says.
+        show = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.space = show(" ")[0][0]
+        self.visible = {c: "".join(part for part, _ in show(c)) for c in map(chr, range(0xC0, 0x250)) if c.isalpha()}
 
-    return count
+    def of_texts(self, texts: list[str]) -> list[int]:
+        return list(map(len, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+
+    def of_word(self, word: str) -> int:
+        """Of a word of Latin letters with a space before it, which is one unit of merging."""
+        shown = word if word.isascii() else "".join(self.visible.get(c, c) for c in word)
+        return len(self.merge(self.space + shown))
+
+
+def is_latin_word(text: str) -> bool:
+    """Letters whose class no Unicode version has changed."""
+    return text.isalpha() and (text.isascii() or (max(text) < "\u0250" and not set(text) & {"\xaa", "\xb5", "\xba"}))
 
 
 def pre_tokens(text: str) -> tuple[str, list[str]]:
@@ -66,8 +83,27 @@ def pre_tokens(text: str) -> tuple[str, list[str]]:
 class PieceCounts:
     """Pieces per pre-token, counted once while known."""
 
-    def __init__(self, count, most: int = KNOWN_TERMS):
-        self.count, self.most, self.known = count, most, {}
+    def __init__(self, pieces: JsonPieces, most: int = KNOWN_TERMS):
+        self.pieces, self.most = pieces, most
+        self.known: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
+
+    def learn(self, terms: Iterable[str]) -> None:
+        """Count new pre-tokens; a mark after a word is a unit of its own."""
+        known, others = self.known, []
+        for term in terms:
+            word = term.rstrip(MARKS)
+            if not is_latin_word(word):
+                others.append(term)
+                continue
+            if word not in known:
+                known[word] = self.pieces.of_word(word)
+            if len(word) < len(term):
+                mark = term[len(word) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self.pieces.of_texts([mark])[0]
+                known[term] = known[word] + self.marks[mark]
+        known.update(zip(others, self.pieces.of_texts([f" {term}" for term in others])))
 
     def totals(self, texts: Iterable[str | None]) -> list[int]:
         firsts, tables = [], []
@@ -76,11 +112,10 @@ class PieceCounts:
             firsts.append(first)
             tables.append(Counter(rest))
         known = self.known
-        new = list({term for table in tables for term in table if term not in known})
-        known.update(zip(new, self.count([f" {term}" for term in new])))
+        self.learn({term for table in tables for term in table if term not in known})
         sums = [
             first + sum(map(mul, map(known.__getitem__, table), table.values()))
-            for first, table in zip(self.count(firsts), tables)
+            for first, table in zip(self.pieces.of_texts(firsts), tables)
         ]
         if len(known) > self.most:
             known.clear()
@@ -91,7 +126,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     """``doc_id, n_bytes, n_tokens, over_limit`` per row of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PieceCounts(json_counter(vocabulary))
+        counts = PieceCounts(JsonPieces(vocabulary))
         for batch in whole_batches(batches, BLOCK_BYTES):
             text = batch.column("text")
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
