@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidefold.llm.common import table
+from tidefold.llm.common import scratch_of, table
+from tidefold.llm.fingerprints import fingerprint_edits, within_radius
 from tidefold.llm.language_id import held_out, identify, learn
 from tidefold.llm.mixing import mix_sources
 from tidefold.llm.tokens import token_counts
@@ -15,6 +17,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ``rows_near``: of ids divisible by 100, how many rows lie within the radius."""
+    docs = table(spark, sf_dir, "documents")
+    prints = scratch_of(docs).save(fingerprint_edits(docs), "prints")
+    asked = prints.where(F.col("doc_id") % 100 == 0)
+    near = within_radius(prints, asked).groupBy(F.col("query").alias("fingerprint")).agg(F.sum("rows").alias("rows_near"))
+    near = asked.select("doc_id", "fingerprint").distinct().join(near, "fingerprint").drop("fingerprint")
+    return prints.join(near, "doc_id", "left")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = identify(docs.select("doc_id", "text"), learn(docs))
@@ -32,6 +44,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op5_fingerprints": op5_fingerprints,
     "op6_language_id": op6_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_token_counts": op9_token_counts,
