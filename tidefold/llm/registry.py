@@ -11,12 +11,21 @@ from tidefold.llm.language_id import held_out, identify, learn
 from tidefold.llm.mixing import mix_sources
 from tidefold.llm.tokens import token_counts
 from tidefold.llm.url_filter import filter_urls
+from tidefold.llm.warc import read_archives, write_archives
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    scratch = scratch_of(pages)
+    folder = f"{scratch.path}/archives"
+    records = read_archives(write_archives(pages, folder, scratch=scratch), folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With ``rows_near``: of ids divisible by 100, how many rows lie within the radius."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_warc": op3_warc,
     "op5_fingerprints": op5_fingerprints,
     "op6_language_id": op6_language_id,
     "op8_source_mixing": op8_source_mixing,
