@@ -9,6 +9,7 @@ from tidefold.llm.common import scratch_of, table
 from tidefold.llm.fingerprints import fingerprint_edits, within_radius
 from tidefold.llm.language_id import held_out, identify, learn
 from tidefold.llm.mixing import mix_sources
+from tidefold.llm.pii import find_personal_data
 from tidefold.llm.tokens import token_counts
 from tidefold.llm.url_filter import filter_urls
 from tidefold.llm.warc import read_archives, write_archives
@@ -51,6 +52,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_warc": op3_warc,
@@ -58,4 +63,5 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_personal_data": op10_personal_data,
 }
