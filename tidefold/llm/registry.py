@@ -9,6 +9,7 @@ from tidefold.llm.common import scratch_of, table
 from tidefold.llm.fingerprints import fingerprint_edits, within_radius
 from tidefold.llm.language_id import held_out, identify, learn
 from tidefold.llm.mixing import mix_sources
+from tidefold.llm.near_dedup import near_classes
 from tidefold.llm.pii import find_personal_data
 from tidefold.llm.tokens import token_counts
 from tidefold.llm.url_filter import filter_urls
@@ -27,6 +28,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With ``rows_near``: of ids divisible by 100, how many rows lie within the radius."""
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +64,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_warc": op3_warc,
+    "op4_near_dedup": op4_near_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_language_id": op6_language_id,
     "op8_source_mixing": op8_source_mixing,
