@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,36 @@ def whole_batches(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterato
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+class Bitmap:
+    """Hashes of keys as a bitmap of fixed size, to skip rows that match none.
+
+    Its size does not depend on the keys: with very many of them it skips little,
+    and what it lets through is joined exactly in any case.
+    """
+
+    BITS = 1 << 24
+
+    def __init__(self, keys: DataFrame):
+        """From a BIGINT column ``key``; at most ``BITS`` / 64 rows reach the driver."""
+        place = F.pmod(F.xxhash64("key"), F.lit(self.BITS))
+        words = (
+            keys.select(place.alias("place"))
+            .groupBy(F.expr("place div 64").alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+            .toPandas()
+        )
+        self.words = np.zeros(self.BITS // 64, np.int64)
+        self.words[words["word"].to_numpy()] = words["bits"].to_numpy()
+
+    @classmethod
+    def place(cls, key: str) -> Column:
+        """Where a key's bit is, computed as on the other side."""
+        return F.pmod(F.xxhash64(key), F.lit(cls.BITS))
+
+    def __contains__(self, place: int) -> bool:
+        return bool(int(self.words[place >> 6]) >> (place & 63) & 1)
+
+    def hits(self, places: np.ndarray) -> np.ndarray:
+        return (self.words[places >> 6] >> (places & 63)) & 1 == 1

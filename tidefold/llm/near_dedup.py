@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidefold.llm.common import scratch_of, whole_batches
-from tidefold.llm.shingles import Shingler, mix
+from tidefold.llm.common import Bitmap, scratch_of, whole_batches
+from tidefold.llm.shingles import mix, shingle_codes, split
 from tidefold.operators.components import components
 
 SIMILARITY = 0.8
@@ -47,29 +47,26 @@ REGISTERS = BANDS * BAND_SIZE
 # Four standard deviations below a share of 0.8 over 130 registers, and some more
 # for shingles whose weights differ.
 LEAST_ESTIMATE = 0.6
-BLOCK_BYTES = 8 << 20
-_TURN = np.uint64(0x9E3779B97F4A7C15)
+BLOCK_BYTES = 2 << 20
+_TURN = 0x9E3779B97F4A7C15
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """The element (64-bit hashes, distinct) that arrives first at each register."""
     earliest = np.full(registers, np.inf)
     winner = np.zeros(registers, np.uint64)
-    times, state = np.zeros(len(elements)), elements
-    live, turn = np.arange(len(elements)), np.uint64(0)
+    live, times, state, rates, turn = elements, 0.0, elements, 1 / weights, 0
     while len(live):
-        turn += _TURN
-        draw = mix(state + turn)
+        turn = (turn + _TURN) & 0xFFFFFFFFFFFFFFFF
+        draw = mix(state + np.uint64(turn))
         uniform = ((draw >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53
-        times = times - np.log(uniform) / weights[live]
+        times = times - np.log(uniform) * rates
         at = (mix(draw) % np.uint64(registers)).astype(np.int64)
-        # Latest first, so that of several arrivals at a register the earliest is kept.
-        order = np.argsort(-times, kind="stable")
-        order = order[times[order] < earliest[at[order]]]
-        earliest[at[order]] = times[order]
-        winner[at[order]] = elements[live[order]]
+        np.minimum.at(earliest, at, times)
+        first = times == earliest[at]
+        winner[at[first]] = live[first]
         on = times < earliest.max()
-        live, times, state = live[on], times[on], state[on]
+        live, times, state, rates = live[on], times[on], state[on], rates[on]
     return winner
 
 
@@ -81,7 +78,7 @@ def weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(winner: np.ndarray) -> np.ndarray:
     keys = np.zeros(BANDS, np.uint64)
     for part in winner.reshape(BANDS, BAND_SIZE).T:
-        keys = mix(keys * _TURN + part)
+        keys = mix(keys * np.uint64(_TURN) + part)
     return keys
 
 
@@ -89,13 +86,11 @@ SKETCH = "doc_id long, digest binary, keys array<long>, registers binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
     types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
     for batch in whole_batches(batches, BLOCK_BYTES):
-        ids, rows = batch.column("doc_id").to_pylist(), []
-        for doc_id, text in zip(ids, batch.column("text").to_pylist()):
-            digest = hashlib.sha256((text or "").encode("utf-8")).digest()[:16]
-            shingles = shingler(text)
+        ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text"), []
+        for doc_id, text, shingles in zip(ids, texts.to_pylist(), split(*shingle_codes(texts))):
+            digest = _digest(text)
             if len(shingles):
                 winner = prob_minhash(*weighted(shingles))
                 rows.append((doc_id, digest, band_keys(winner).view(np.int64), winner.astype(np.uint16).tobytes()))
@@ -125,11 +120,19 @@ def exact_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(found, dtype=float)
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
-    for batch in whole_batches(batches, BLOCK_BYTES):
-        sets = [np.unique(shingler(t).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+def _sets_of(asked: Bitmap):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_batches(batches, BLOCK_BYTES):
+            batch = batch.filter(pa.array(asked.hits(batch.column("_place").to_numpy())))
+            texts = batch.column("text")
+            own = [np.unique(s.astype(np.uint32)).tobytes() for s in split(*shingle_codes(texts))]
+            digests = [_digest(text) for text in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(own, pa.binary())],
+                ["doc_id", "digest", "shingles"],
+            )
+
+    return sets
 
 
 def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -138,7 +141,24 @@ def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch, name: str) -> DataFrame:
+def _digest(text: str | None) -> bytes:
+    return hashlib.sha256((text or "").encode("utf-8")).digest()[:16]
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """``node, shingles`` of the nodes that share a bucket; texts are not shuffled."""
+    asked = members.select("node").distinct().join(nodes.select("node", F.col("first_id").alias("doc_id"), "digest"), "node")
+    shared = Bitmap(asked.select(F.col("doc_id").alias("key")))
+    found = (
+        docs.where(F.col("doc_id").isNotNull())
+        .withColumn("_place", Bitmap.place("doc_id"))
+        .mapInArrow(_sets_of(shared), "doc_id long, digest binary, shingles binary")
+    )
+    # Rows that repeat an id and text are the same node; one is enough.
+    return found.join(asked, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch, name: str) -> DataFrame:
     """Of ``a, b`` candidates those at ``SIMILARITY``, as ``src, dst``."""
     likely = (
         _both(pairs, nodes, "registers")
@@ -146,27 +166,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch, name
         .select("a", "b")
     )
     likely = scratch.save(likely, f"likely-{name}")
-    asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes, "node")
-    texts = docs.select("doc_id", "text", _digest()).join(
-        asked.select("node", F.col("first_id").alias("doc_id"), "digest"), ["doc_id", "digest"]
-    )
-    # Rows that repeat an id and text are the same node; one is enough.
-    once = texts.select("node", "text").mapInArrow(_shingle_sets, "node long, shingles binary")
-    sets = scratch.save(once.dropDuplicates(["node"]), f"sets-{name}")
     linked = _both(likely, sets, "shingles").where(exact_jaccard("shingles_a", "shingles_b") >= SIMILARITY)
     return scratch.save(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"linked-{name}")
 
 
-def _digest():
-    whole = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256))
-    return F.substring(whole, 1, 16).alias("digest")
-
-
 def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
     """``doc_id, class_id, copies, class_texts`` per row: its class, the rows of
     the same text, and how many different texts the class has."""
     scratch = scratch or scratch_of(docs)
-    # Ids that are null in all rows of a text still need a name for the join back.
     docs = docs.select("doc_id", "text")
     sketches = scratch.save(docs.mapInArrow(_sketch, SKETCH), "sketches")
     nodes = scratch.save(
@@ -192,7 +199,8 @@ def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
         members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(),
         "stars",
     )
-    first = _verified(stars, nodes, docs, scratch, "stars")
+    sets = scratch.save(_shingle_sets(docs, nodes, members), "sets")
+    first = _verified(stars, nodes, sets, scratch, "stars")
     labels = components(first, scratch, "first")
     placed = members.where(F.col("size") > 2).join(labels, "node", "left").select(
         "band", "key", "node", F.coalesce("component", "node").alias("part")
@@ -215,7 +223,7 @@ def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    second = _verified(rest, nodes, docs, scratch, "rest")
+    second = _verified(rest, nodes, sets, scratch, "rest")
     edges = first.union(second)
     classes = components(edges, scratch, "all")
     named = nodes.select("node", "digest", "first_id", "copies").join(classes, "node", "left").withColumn(
