@@ -1,20 +1,54 @@
-"""The corpus pipeline: documents through the operators of ``tidefold.llm``."""
+"""The corpus pipeline: documents through five operators of ``tidefold.llm``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidefold.llm.common import scratch_of, table
+from tidefold.llm.decontaminate import clean_documents
+from tidefold.llm.language_id import UNDETERMINED, identify, learn
 from tidefold.llm.mixing import mix_sources
+from tidefold.llm.near_dedup import one_of_each
+from tidefold.llm.pii import mask_personal_data
 
+# Below this posterior no language stands out.
+LEAST_SCORE = 0.5
 
-def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the labelled rows teach; text alone decides."""
+    judged = identify(docs, learn(docs))
+    kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return judged.where(kept).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return mask_personal_data(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words taken of each document so that sources meet their targets."""
     return mix_sources(docs)
 
 
 STAGES = [
-    ("source mixing", _mix),
+    ("language_id", known_languages),
+    ("near_dedup", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("personal_data", without_personal_data),
+    ("source_mixing", mixed),
 ]
 
 # Language models, sketches and a sequence model decide; SQL cannot express them.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import scratch_of, table
+from tidefold.llm.decontaminate import contained_items
 from tidefold.llm.fingerprints import fingerprint_edits, within_radius
 from tidefold.llm.language_id import held_out, identify, learn
 from tidefold.llm.mixing import mix_sources
@@ -16,6 +17,10 @@ from tidefold.llm.url_filter import filter_urls
 from tidefold.llm.warc import read_archives, write_archives
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -62,6 +67,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_warc": op3_warc,
     "op4_near_dedup": op4_near_dedup,
