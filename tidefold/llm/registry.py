@@ -12,6 +12,7 @@ from tidefold.llm.language_id import held_out, identify, learn
 from tidefold.llm.mixing import mix_sources
 from tidefold.llm.near_dedup import near_classes
 from tidefold.llm.pii import find_personal_data
+from tidefold.llm.suffix_dedup import remove_repeats
 from tidefold.llm.tokens import token_counts
 from tidefold.llm.url_filter import filter_urls
 from tidefold.llm.warc import read_archives, write_archives
@@ -53,6 +54,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -73,6 +78,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_personal_data": op10_personal_data,
