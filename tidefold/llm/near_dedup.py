@@ -8,13 +8,17 @@ arrivals per element are drawn. The share of equal registers estimates the
 probability Jaccard of two texts (the plain one where weights are equal).
 
 Equal texts are one node. Registers are banded; a bucket is the nodes that share
-a band. First each node of a bucket is compared with the bucket's least node
-only. What is then linked needs no further comparison: in buckets whose nodes
-still lie in several components, those outside the largest are compared with all
-of other components. A pair that shares a bucket is so either compared or
-already in one class, and a large group of copies costs its size, not its
-square. Pairs pass an estimate from the sketches and then the exact Jaccard of
-their shingle sets, at ``SIMILARITY``.
+a band. First each node of a bucket is compared with one node only, that which
+meets the most others in all its buckets: a text that many are copies of is nearer
+to them than they are to each other. These pairs pass an estimate from the sketches
+and then the exact Jaccard of their shingle sets, at ``SIMILARITY``. What is then
+linked needs no further comparison: in buckets whose nodes still lie in several
+components, those outside the largest are compared with the nodes of other
+components, exactly and in blocks of ``CHUNK`` nodes, by the matrix product of
+their sets; only links leave the task. A pair that shares a bucket is so either
+compared or already in one class, and a group of copies that link costs its size,
+not its square. What costs more is a group of many texts just below the
+similarity: those of its nodes that link to nothing are compared with all of it.
 
 At similarity 0.8 a pair shares no band with probability 0.00003 (26 bands of 5).
 
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidefold.llm.common import Bitmap, scratch_of, whole_batches
+from tidefold.llm.common import HashFilter, free_name, scratch_of, whole_batches
 from tidefold.llm.shingles import mix, shingle_codes, split
 from tidefold.operators.components import components
 
@@ -48,6 +52,9 @@ REGISTERS = BANDS * BAND_SIZE
 # for shingles whose weights differ.
 LEAST_ESTIMATE = 0.6
 BLOCK_BYTES = 2 << 20
+# Nodes of a bucket that are compared with as many others in one task, and shingles
+# that are columns of the matrix product at a time.
+CHUNK, COLUMNS = 1024, 4096
 _TURN = 0x9E3779B97F4A7C15
 
 
@@ -120,10 +127,10 @@ def exact_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(found, dtype=float)
 
 
-def _sets_of(asked: Bitmap):
+def _sets_of(asked: HashFilter):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_batches(batches, BLOCK_BYTES):
-            batch = batch.filter(pa.array(asked.hits(batch.column("_place").to_numpy())))
+            batch = batch.filter(pa.array(asked(batch.column("_key").to_numpy().view(np.uint64))))
             texts = batch.column("text")
             own = [np.unique(s.astype(np.uint32)).tobytes() for s in split(*shingle_codes(texts))]
             digests = [_digest(text) for text in texts.to_pylist()]
@@ -148,10 +155,10 @@ def _digest(text: str | None) -> bytes:
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """``node, shingles`` of the nodes that share a bucket; texts are not shuffled."""
     asked = members.select("node").distinct().join(nodes.select("node", F.col("first_id").alias("doc_id"), "digest"), "node")
-    shared = Bitmap(asked.select(F.col("doc_id").alias("key")))
+    shared = HashFilter(asked.select(F.xxhash64("doc_id").alias("key")))
     found = (
         docs.where(F.col("doc_id").isNotNull())
-        .withColumn("_place", Bitmap.place("doc_id"))
+        .withColumn("_key", F.xxhash64("doc_id"))
         .mapInArrow(_sets_of(shared), "doc_id long, digest binary, shingles binary")
     )
     # Rows that repeat an id and text are the same node; one is enough.
@@ -170,6 +177,81 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch, name
     return scratch.save(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"linked-{name}")
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets, each of ``left`` with each of ``right``."""
+    sets = left + right
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Elements of one set alone are in no intersection; the others are numbered anew.
+    number = np.cumsum(uses > 1) - 1
+    shared = uses[column] > 1
+    row, column = row[shared], number[column[shared]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    found = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(number[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        matrix = np.zeros((len(sets), min(COLUMNS, int(number[-1]) + 1 - at)), np.float32)
+        matrix[row[a:b], column[a:b] - at] = 1
+        found += matrix[: len(left)] @ matrix[len(left) :].T
+    return found
+
+
+def _block_links(outside: list[tuple], inside: list[tuple]) -> set[tuple[int, int]]:
+    """One link of each node of ``outside`` to each other part of ``inside`` that it is similar to."""
+    left, right = ([np.frombuffer(r[2], np.uint32) for r in rows] for rows in (outside, inside))
+    both = _intersections(left, right)
+    total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+    linked = both >= SIMILARITY * (total - both) - 1e-3
+    linked &= np.array([r[1] for r in outside])[:, None] != np.array([r[1] for r in inside])[None, :]
+    found = {}
+    for i, j in zip(*(at.tolist() for at in np.nonzero(linked))):
+        # Of whole numbers, exactly; the product above is of single precision.
+        if both[i, j] / (total[i, j] - both[i, j]) >= SIMILARITY:
+            found[outside[i][0], inside[j][1]] = (outside[i][0], inside[j][0])
+    return set(found.values())
+
+
+def _links_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of blocks; rows come sorted by block."""
+    block, rows = None, ([], [])
+    names = ("band", "key", "left", "right", "outside", "node", "part", "shingles")
+
+    def links():
+        found = sorted(_block_links(*rows)) if rows[0] and rows[1] else []
+        rows[0].clear()
+        rows[1].clear()
+        return found
+
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(name).to_pylist() for name in names)):
+            if row[:4] != block:
+                out += links()
+                block = row[:4]
+            rows[0 if row[4] else 1].append(row[5:])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
+    if out := links():
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
+
+
+def _rest_linked(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between parts of one bucket, of its nodes outside the largest part."""
+    width = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = F.expr(f"cast((rows - 1) div {CHUNK} as int)")
+    own = F.pmod(F.xxhash64("node"), chunks + 1).cast("int")
+    every = F.sequence(F.lit(0), chunks)
+    columns = ["band", "key", "node", "part"]
+    inside = mixed.select(*columns, F.lit(False).alias("outside"), own.alias("right"), F.explode(every).alias("left"))
+    outside = mixed.where(F.col("part") != F.col("largest")).select(
+        *columns, F.lit(True).alias("outside"), own.alias("left"), F.explode(every).alias("right")
+    )
+    block = ["band", "key", "left", "right"]
+    dealt = outside.unionByName(inside).join(sets, "node").repartition(width, *block).sortWithinPartitions(*block)
+    return dealt.mapInArrow(_links_in_blocks, "src long, dst long").distinct()
+
+
 def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
     """``doc_id, class_id, copies, class_texts`` per row: its class, the rows of
     the same text, and how many different texts the class has."""
@@ -189,12 +271,14 @@ def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
     )
     # Texts whose rows have no id cannot be found again and stay alone.
     banded = nodes.where(F.col("first_id").isNotNull()).select("node", F.posexplode("keys").alias("band", "key"))
-    hubs = (
-        banded.groupBy("band", "key")
-        .agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size"))
-        .where(F.col("size") > 1)
-    )
-    members = scratch.save(banded.join(hubs, ["band", "key"]), "members")
+    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    shared = scratch.save(banded.join(sizes, ["band", "key"]), "shared")
+    # The text that others are copies of shares more bands with them than they do with
+    # each other: compared with it, most of a group links at once.
+    met = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    ranked = shared.join(met, "node")
+    hubs = ranked.groupBy("band", "key").agg(F.max_by("node", F.struct("met", "node")).alias("hub"))
+    members = scratch.save(shared.join(hubs, ["band", "key"]), "members")
     stars = scratch.save(
         members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(),
         "stars",
@@ -208,22 +292,16 @@ def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
     parts = placed.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("rows"))
     largest = (
         parts.groupBy("band", "key")
-        .agg(F.max_by("part", F.struct("rows", "part")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+        .agg(
+            F.max_by("part", F.struct("rows", "part")).alias("largest"),
+            F.count(F.lit(1)).alias("parts"),
+            F.sum("rows").alias("rows"),
+        )
         .where(F.col("parts") > 1)
         .drop("parts")
     )
-    mixed = scratch.save(placed.join(largest, ["band", "key"]), "mixed")
-    outside = mixed.where(F.col("part") != F.col("largest")).select(
-        "band", "key", F.col("node").alias("a"), F.col("part").alias("part_a")
-    )
-    rest = (
-        outside.join(mixed.select("band", "key", F.col("node").alias("b"), "part"), ["band", "key"])
-        .where(F.col("part_a") != F.col("part"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    second = _verified(rest, nodes, sets, scratch, "rest")
+    mixed = placed.join(largest, ["band", "key"])
+    second = scratch.save(_rest_linked(mixed, sets), "linked-rest")
     edges = first.union(second)
     classes = components(edges, scratch, "all")
     named = nodes.select("node", "digest", "first_id", "copies").join(classes, "node", "left").withColumn(
@@ -242,6 +320,7 @@ def one_of_each(docs: DataFrame, scratch=None) -> DataFrame:
     keep = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     # Rows of one id and different texts are different documents.
     turn = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(turn))
+    name = free_name(docs, "turn")
+    named = docs.join(keep, "doc_id", "left_semi").withColumn(name, F.row_number().over(turn))
     unnamed = docs.where(F.col("doc_id").isNull())
-    return named.where(F.col("_turn") == 1).drop("_turn").unionByName(unnamed)
+    return named.where(F.col(name) == 1).drop(name).unionByName(unnamed)
