@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import scratch_of, table
+from tidefold.llm.common import free_name, scratch_of, table
 from tidefold.llm.decontaminate import clean_documents
 from tidefold.llm.language_id import UNDETERMINED, identify, learn
 from tidefold.llm.mixing import mix_sources
@@ -18,8 +18,9 @@ LEAST_SCORE = 0.5
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the labelled rows teach; text alone decides."""
-    judged = identify(docs, learn(docs))
-    kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    judged = identify(docs, learn(docs), (lang, score))
+    kept = (F.col(lang) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)
     return judged.where(kept).select(*docs.columns)
 
 

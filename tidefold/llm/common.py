@@ -27,6 +27,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_batches(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of at most ``most_bytes``, a single larger row alone."""
     for batch in batches:
@@ -37,34 +45,35 @@ def whole_batches(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterato
             yield batch.slice(start, step)
 
 
-class Bitmap:
-    """Hashes of keys as a bitmap of fixed size, to skip rows that match none.
+class HashFilter:
+    """64-bit hashes as two bits each in a bitmap of fixed size, to skip what matches none.
 
     Its size does not depend on the keys: with very many of them it skips little,
-    and what it lets through is joined exactly in any case.
+    and what it lets through is compared exactly in any case.
     """
 
-    BITS = 1 << 24
-
-    def __init__(self, keys: DataFrame):
-        """From a BIGINT column ``key``; at most ``BITS`` / 64 rows reach the driver."""
-        place = F.pmod(F.xxhash64("key"), F.lit(self.BITS))
+    def __init__(self, keys: DataFrame, bits: int = 1 << 24):
+        """From a BIGINT column ``key`` of hashes; one row per 64 bits at most reaches the driver."""
+        self.width = bits.bit_length() - 1
+        places = [F.shiftrightunsigned("key", 64 - self.width), F.expr(f"key & {bits - 1}L")]
         words = (
-            keys.select(place.alias("place"))
+            keys.select(F.explode(F.array(*places)).alias("place"))
             .groupBy(F.expr("place div 64").alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
-            .toPandas()
+            .toArrow()
         )
-        self.words = np.zeros(self.BITS // 64, np.int64)
-        self.words[words["word"].to_numpy()] = words["bits"].to_numpy()
-
-    @classmethod
-    def place(cls, key: str) -> Column:
-        """Where a key's bit is, computed as on the other side."""
-        return F.pmod(F.xxhash64(key), F.lit(cls.BITS))
-
-    def __contains__(self, place: int) -> bool:
-        return bool(int(self.words[place >> 6]) >> (place & 63) & 1)
-
-    def hits(self, places: np.ndarray) -> np.ndarray:
-        return (self.words[places >> 6] >> (places & 63)) & 1 == 1
+        self.words = np.zeros(bits // 64, np.int64)
+        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        self.words = self.words.view(np.uint8)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the unsigned hashes may be among the keys."""
+        hit = np.arange(len(keys))
+        low = np.uint64((1 << self.width) - 1)
+        # The second bit is only looked up where the first is set.
+        for at in (keys >> np.uint64(64 - self.width), keys & low):
+            at = at[hit]
+            hit = hit[(self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        found = np.zeros(len(keys), bool)
+        found[hit] = True
+        return found

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidefold.llm.common import Bitmap, scratch_of, whole_batches
+from tidefold.llm.common import HashFilter, scratch_of, whole_batches
 from tidefold.llm.shingles import mix, shingle_codes, split
 
 CONTAINMENT = 0.8
@@ -104,9 +104,8 @@ def window_keys(shingles: np.ndarray, places: np.ndarray, sizes: list[int]):
 SUSPECTS = "doc_id long, keys array<long>, shingles binary"
 
 
-def _suspects(seen: np.ndarray, sizes: list[int]):
-    """Documents with a key in the bitmap, with these keys and all their shingles."""
-    shift = np.uint64(64 - (len(seen) * 8).bit_length() + 1)
+def _suspects(known: HashFilter, sizes: list[int]):
+    """Documents with a key that may be an item's, with these keys and all their shingles."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -119,8 +118,7 @@ def _suspects(seen: np.ndarray, sizes: list[int]):
             kept = np.concatenate([[0], places[1:][full]])
             found: dict[int, set] = {}
             for own, keys in window_keys(shingles, kept, sizes):
-                at = keys >> shift
-                hit = np.flatnonzero(seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                hit = np.flatnonzero(known(keys))
                 for i, key in zip(own[hit].tolist(), keys[hit].view(np.int64).tolist()):
                     found.setdefault(i, set()).add(key)
             ids = batch.column("doc_id").to_pylist()
@@ -134,20 +132,6 @@ def _suspects(seen: np.ndarray, sizes: list[int]):
     return find
 
 
-def _key_bitmap(keys: DataFrame) -> np.ndarray:
-    """The leading bits of ``key`` as a bitmap of ``Bitmap.BITS``; one row per 64 bits reaches the driver."""
-    width = Bitmap.BITS.bit_length() - 1
-    words = (
-        keys.select(F.shiftrightunsigned("key", 64 - width).alias("place"))
-        .groupBy(F.expr("place div 64").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
-        .toPandas()
-    )
-    seen = np.zeros(Bitmap.BITS // 64, np.int64)
-    seen[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return seen.view(np.uint8)
-
-
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _containments(shingles: pd.Series, items: pd.Series) -> pd.Series:
     """For each of a document's candidate items, the share of its shingles that the document has."""
@@ -176,7 +160,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CO
     sizes = sorted(row["size"] for row in items.select("size").distinct().collect())
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double")
-    suspects = docs.select("doc_id", "text").mapInArrow(_suspects(_key_bitmap(keys), sizes), SUSPECTS)
+    suspects = docs.select("doc_id", "text").mapInArrow(_suspects(HashFilter(keys), sizes), SUSPECTS)
     suspects = scratch.save(suspects.withColumn("row", F.monotonically_increasing_id()), "suspects")
     pairs = suspects.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item_id").distinct()
     asked = (

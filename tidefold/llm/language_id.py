@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefold.llm.common import whole_batches
 
@@ -273,11 +274,15 @@ class Judge:
         return langs, scores
 
 
-def identify(docs: DataFrame, model: PieceModel | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, from ``text`` alone."""
-    # Columns of the same names would clash; the result's own win.
-    kept = docs.drop("lang_pred", "score")
-    fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
+def identify(
+    docs: DataFrame, model: PieceModel | None, columns: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with a language and a score, from ``text`` alone, in two new columns.
+
+    A column of ``docs`` that has one of the new names gives way to it.
+    """
+    kept = docs.drop(*columns)
+    fields = [pa.field(columns[0], pa.string()), pa.field(columns[1], pa.float64())]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge_of = Judge(model)
@@ -287,5 +292,5 @@ def identify(docs: DataFrame, model: PieceModel | None) -> DataFrame:
                 batch = batch.append_column(field, pa.array(values, field.type))
             yield batch
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(judge, f"{schema}, lang_pred string, score double")
+    added = [T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType())]
+    return kept.mapInArrow(judge, T.StructType(kept.schema.fields + added))

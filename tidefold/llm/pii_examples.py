@@ -4,6 +4,9 @@
 """
 
 EXAMPLES = """
+mail [email:tom (at) sample.com] again
+mail [email:ann(at)sample.org] now
+please mail [email:eve [at] post.net] soon
 write to [email:anna.berg (at) example.org] before noon
 mail [email:j.doe [at] mail.example.com] or call the desk
 Kontakt: [email:info AT firma-nord DOT example] für Fragen

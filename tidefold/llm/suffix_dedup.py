@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import scratch_of, whole_batches
+from tidefold.llm.common import HashFilter, scratch_of, whole_batches
 from tidefold.llm.shingles import _DOWN, _UP, PIECE, _bytes_of, mix
 
 LENGTH = 100
@@ -66,8 +66,10 @@ def suffix_order(codes: np.ndarray, span: int) -> np.ndarray:
     Codes are at least 1; places behind the end count as 0.
     """
     n = len(codes)
-    if n < 3 or span <= 1:
+    if span <= 1:
         return np.argsort(codes, kind="stable")
+    if n < 3:
+        return np.array(sorted(range(n), key=lambda i: tuple(codes[i:])), np.int64)
     padded = np.concatenate([codes, np.zeros(3, np.int64)])
     # With n of remainder 1, a place behind the end closes the first half of the names.
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
@@ -181,37 +183,12 @@ def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["anchor", "n"])
 
 
-class _Seen:
-    """Names as two bits each in a bitmap of fixed size."""
-
-    WIDTH = BITS.bit_length() - 1
-
-    def __init__(self, anchors: DataFrame):
-        """One row per 64 bits at most reaches the driver."""
-        places = [F.shiftrightunsigned("anchor", 64 - self.WIDTH), F.expr(f"anchor & {BITS - 1}L")]
-        words = (
-            anchors.select(F.explode(F.array(*places)).alias("place"))
-            .groupBy(F.expr("place div 64").alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
-            .toArrow()
-        )
-        self.words = np.zeros(BITS // 64, np.int64)
-        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-        self.words = self.words.view(np.uint8)
-
-    def __call__(self, names: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(names), bool)
-        for at in (names >> np.uint64(64 - self.WIDTH), names & np.uint64(BITS - 1)):
-            hit &= (self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return hit
-
-
 CONTEXTS = "group long, id long, digest long, low int, high int, context binary"
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 _NAMES = [part.split()[0] for part in CONTEXTS.split(", ")]
 
 
-def _contexts(twice: np.ndarray, hot: np.ndarray):
+def _contexts(twice: HashFilter, hot: HashFilter):
     """The contexts of anchors that occur again, equal ones of a block only once.
 
     ``low`` and ``high`` are the first and last start of the windows; a row without
@@ -405,7 +382,8 @@ def remove_repeats(docs: DataFrame, scratch=None) -> DataFrame:
         .where(F.col("n") > 1),
         "anchors",
     )
-    twice, hot = _Seen(again), _Seen(again.where(F.col("n") > HOT))
+    hashes = again.withColumnRenamed("anchor", "key")
+    twice, hot = HashFilter(hashes, BITS), HashFilter(hashes.where(F.col("n") > HOT), BITS)
     repeats = (
         long_enough.mapInArrow(_contexts(twice, hot), CONTEXTS)
         .repartition(width, "group")
