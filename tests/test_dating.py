@@ -130,3 +130,15 @@ def test_profile(spark):
     assert values(got, "source", "confidence", "files") == [
         ("Filesystem mtime", "low", 2), ("EXIF DateTime", "high", 1),
     ]
+
+
+def test_any_number_of_rules_and_streams(spark):
+    like = next(rule for rule in DATE_RULES if rule.scope == "exif")
+    from dataclasses import replace
+
+    many = tuple(replace(like, tag=f"T{i}", order=i, source=f"S{i}") for i in range(1_001))
+    tags = tag_table(spark, ("/s/a.jpg", "exif", "T1000", -1, COLON), ("/s/b.jpg", "exif", "T3", -1, COLON))
+    got = dict(values(dating.best_tag_date(tags, many), "path", "source"))
+    assert got == {"/s/a.jpg": "S1000", "/s/b.jpg": "S3"}
+    late = best(spark, "/s/a.mp4", ("stream", "creation_time", 100_000, WALL))
+    assert late[0] == WALL

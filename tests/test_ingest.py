@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidefold import schemas
 from tidefold.functions import states
 from tidefold.operators import accounting
-from tidefold.plans.ingest import Inputs, Target, run_ingest, scan_inputs
+from tidefold.plans.ingest import Inputs, Target, run_folder, run_ingest, scan_inputs
 from tidefold.session import Scratch
 from tidefold.sources import ledger as ledgers
 from tidefold.sources import listing, sinks
@@ -89,9 +89,11 @@ def test_a_first_run(spark, place):
         hashlib.md5(content).hexdigest() for content in (b"one", b"two", b"three")
     }
     told = {
-        name: spark.read.parquet(f"{target.report_folder}/{name}").collect()
-        for name in ("rows", "summary", "badges", "recency")
+        name: spark.read.parquet(f"{run_folder(target, FIRST)}/{name}").collect()
+        for name in ("rows", "summary", "badges", "recency", "reconciliation", "errors", "by_state", "months")
     }
+    assert told["reconciliation"][0]["reconciled"]
+    assert sum(row["files"] for row in told["by_state"]) == told["summary"][0]["total_files"]
     shown = {(row["path"], row["destination"]) for row in told["rows"]}
     assert len(shown) == 6 and ("photos/a/one.jpg", "backup/2023-06/one.jpg") in shown
     assert told["summary"][0]["outcome"] == "duplicates"
@@ -224,3 +226,60 @@ def test_report_formats(spark, tmp_path):
         sinks.write_report(rows, folder, form)
         back = spark.read.option("header", True).schema(rows.schema).format(form).load(folder)
         assert values(back, "path", "size") == [("a", 1)]
+
+
+def test_rows_without_payload_are_errors_and_repeated_payload_is_written_once(spark, tmp_path):
+    tables = [str(tmp_path / name) for name in ("payload", "ledger", "report")]
+    target = Target("/dest", *tables)
+    inventory = spark.createDataFrame(
+        # The row without payload comes first at its destination and for its content.
+        [("/a/x.jpg", FIRST, 1, "h1"), ("/b/x.jpg", FIRST, 1, "h1"), ("/c/y.jpg", FIRST, 1, "h2")],
+        "path string, mtime timestamp, size bigint, hash string",
+    )
+    payload = spark.createDataFrame(
+        [("/b/x.jpg", "one"), ("/b/x.jpg", "one"), ("/c/y.jpg", "two")], "path string, text string"
+    )
+    errors = spark.createDataFrame([], "path string, message string")
+    inputs = Inputs(
+        inventory, spark.createDataFrame([], schemas.TAGS), listing.taken_keys(spark, target.payload_table),
+        ledgers.open_ledger(spark, target.ledger_table), errors, payload,
+    )
+    outcome = run_ingest(spark, inputs, target, LATER, PLENTY)
+    states_of = dict(values(outcome.results, "path", "state"))
+    assert states_of == {"/a/x.jpg": states.ERROR_COPY, "/b/x.jpg": states.COPIED, "/c/y.jpg": states.COPIED}
+    written = values(spark.read.parquet(target.payload_table), "path")
+    ledger = values(ledgers.open_ledger(spark, target.ledger_table), "src_path")
+    assert sorted(written) == sorted(ledger) == [("/b/x.jpg",), ("/c/y.jpg",)]
+    assert outcome.summary.first()["copied"] == 2 and outcome.summary.first()["errors"] == 1
+    told = values(spark.read.parquet(f"{run_folder(target, LATER)}/errors"), *spark.read.parquet(f"{run_folder(target, LATER)}/errors").columns)
+    assert len(told) == 1 and any("/a/x.jpg" in str(cell) for cell in told[0])
+
+
+def test_each_run_leaves_a_report(spark, place):
+    source, target = place
+    for as_of in (FIRST, LATER):
+        ingest(spark, source, target, as_of)
+    copied = [spark.read.parquet(f"{run_folder(target, as_of)}/summary").first()["copied"] for as_of in (FIRST, LATER)]
+    assert copied[0] > 0 and copied[1] == 0
+
+
+def test_a_hash_twice_in_the_ledger_doubles_nothing(spark):
+    ledger = spark.createDataFrame(
+        [("/o", path, "h", 1, 0, FIRST) for path in ("/d/2", "/d/1")] + [("/o", "/d/0", None, 1, 0, FIRST)], schemas.LEDGER
+    )
+    from tidefold.operators import lookups
+
+    rows = spark.createDataFrame([("/n", "h")], "path string, hash string")
+    assert values(lookups.ledger_duplicates(rows, ledger), "path", "existing_path") == [("/n", "/d/1")]
+    assert values(lookups.with_known_copy(rows, ledger), "path", "known_path") == [("/n", "/d/1")]
+    assert ledgers.ledger_status(ledger, LATER).first()["unique_hashes"] == 1
+
+
+def test_a_name_that_is_not_utf8_is_an_error_row(spark, tmp_path):
+    root = str(tmp_path / "names")
+    write(root, "ok.jpg", b"one")
+    with open(os.path.join(os.fsencode(root), b"bad\xff.jpg"), "wb") as out:
+        out.write(b"two")
+    files, errors = listing.walk_tree(spark, root, Scratch(spark))
+    assert values(files, "path") == [(f"{root}/ok.jpg",)]
+    assert [message for _, message in values(errors, "path", "message")] == ["name is not UTF-8"]

@@ -155,3 +155,27 @@ def test_scratch_tables_can_be_dropped(spark):
     assert os.path.isdir(scratch.path)
     scratch.drop()
     assert not os.path.exists(scratch.path)
+
+
+def chain(rows):
+    return [(f"/{i:07}", f"d{(i + 1) // 2}", f"h{i // 2}") for i in range(rows)]
+
+
+def test_long_chains_take_a_bounded_number_of_rounds(spark):
+    rows = chain(3_000) + [(f"/x{path}", f"x{d}", f"x{h}") for path, d, h in chain(500)]
+    df = spark.createDataFrame(rows, "path string, dest_path string, hash string")
+    scratch = Scratch(spark)
+    placed = greedy_placement(df, scratch, patience=2)
+    got = {path: (s, e) for path, s, e in values(placed, "path", "state", "existing_path")}
+    assert got == sequential_placement(rows)
+    tables = os.listdir(scratch.path.removeprefix("file:"))
+    assert sum(name.startswith("won-") for name in tables) == 3
+    assert sum(name.startswith("components-large-") for name in tables) <= 20
+
+
+def test_rows_without_a_key_get_a_state(spark):
+    rows = [("/1", "d1", None), ("/2", None, "h1"), ("/3", "d1", "h1"), ("/4", None, None)]
+    assert place(spark, rows) == {
+        "/1": (states.ERROR_HASH, None), "/2": (states.SKIPPED_NO_DATE, None),
+        "/3": (states.COPIED, None), "/4": (states.SKIPPED_NO_DATE, None),
+    }

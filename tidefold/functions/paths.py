@@ -70,7 +70,7 @@ def relative_path(path: Column, root: str) -> Column:
             steps_up = len(names) - shared
             start = "../" * (steps_up - 1) if steps_up else names[-1] + "/"
             skip = len(folder.rstrip("/")) + 1 if folder else 0
-            rest = F.concat(F.lit(start), F.substring(whole, skip + 1, 1_000_000))
+            rest = F.concat(F.lit(start), F.substr(whole, F.lit(skip + 1)))
             inside = whole.startswith(folder.rstrip("/") + "/") if folder else F.lit(True)
             if shared == len(names):
                 shown = F.when(whole == folder, names[-1])

@@ -26,6 +26,7 @@ SKIPPED_NO_DATE = STATE_LABELS[3]
 SKIPPED_DEST_EXISTS = STATE_LABELS[4]
 DUPLICATE = STATE_LABELS[5]
 ERROR_HASH = STATE_LABELS[8]
+ERROR_COPY = STATE_LABELS[9]
 
 # Not decided by earlier runs; settled against the other rows of this run.
 CANDIDATE = "candidate"

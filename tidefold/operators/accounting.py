@@ -210,16 +210,25 @@ def content_duplicate_groups(inventory: DataFrame) -> DataFrame:
     """Contents that occur more than once: the first in walk order, and the rest
     in numbers. Combined before the shuffle, so a hot content costs one row per
     task; the copies themselves are never gathered."""
-    return (
-        inventory.where("hash is not null")
-        .groupBy("hash")
+    known = inventory.where("hash is not null")
+    # Numbers aggregate in place; the text of a keeper, which does not, is looked for
+    # among the contents that do occur more than once.
+    repeated = (
+        known.groupBy("hash")
         .agg(
             _rows().alias("copies"),
-            F.min_by("path", walk_key(F.col("path"))).alias("keeper"),
             _total(F.col("size")).alias("_bytes"),
             F.max("size").alias("_size"),
         )
         .where("copies > 1")
+    )
+    keepers = (
+        known.join(repeated.select("hash"), "hash", "left_semi")
+        .groupBy("hash")
+        .agg(F.min_by("path", walk_key(F.col("path"))).alias("keeper"))
+    )
+    return (
+        repeated.join(keepers, "hash")
         .select(
             "hash",
             "keeper",

@@ -28,6 +28,9 @@ RESULT_COLUMNS = (
     "path", "dest_path", "month", "hash", "size", "mtime", "state", "existing_path", "error",
 )
 
+# Error of a row that has no payload.
+NO_PAYLOAD = "no payload"
+
 
 def _planned(inventory: DataFrame, mark: Column, dest_folder: str) -> DataFrame:
     """``path, size, early`` and the destination by mtime month; ``early`` is the
@@ -120,6 +123,13 @@ def with_destination(dated: DataFrame, dest_folder: str) -> DataFrame:
     }).drop("date_wall", "confidence", "source")
 
 
+def with_payload_known(looked_up: DataFrame, payload: DataFrame) -> DataFrame:
+    """Add ``has_payload``: whether the payload table has the row's path."""
+    there = payload.select("path").distinct().withColumn("_there", F.lit(True))
+    joined = looked_up.join(there, "path", "left")
+    return joined.withColumn("has_payload", F.col("_there").isNotNull()).drop("_there")
+
+
 def with_states(
     looked_up: DataFrame, ledger: DataFrame, hot_hash: HotKeys | None = None
 ) -> DataFrame:
@@ -135,16 +145,21 @@ def with_states(
     before_hash = F.when(F.col("dest_path").isNull(), states.SKIPPED_NO_DATE).when(
         F.col("dest_taken"), states.SKIPPED_DEST_EXISTS
     )
+    # What cannot be copied must not hold a destination or a content against others.
+    has_payload = F.col("has_payload") if "has_payload" in looked_up.columns else F.lit(True)
     matched = with_known_copy(looked_up, ledger, before_hash.isNull() & readable, hot_hash)
     state = F.coalesce(
         before_hash,
         F.when(~readable, states.ERROR_HASH),
         F.when(F.col("known_path").isNotNull(), states.DUPLICATE),
+        F.when(~has_payload, states.ERROR_COPY),
         F.lit(states.CANDIDATE),
     )
     return matched.withColumn("state", state).withColumns({
         "existing_path": F.when(F.col("state") == states.DUPLICATE, F.col("known_path")),
-        "error": F.when(F.col("state") == states.ERROR_HASH, F.col("read_error")),
+        "error": F.when(F.col("state") == states.ERROR_HASH, F.col("read_error")).when(
+            F.col("state") == states.ERROR_COPY, NO_PAYLOAD
+        ),
     })
 
 

@@ -25,10 +25,23 @@ from tidefold.functions.paths import extension
 
 
 # A date as 14 digits leaves room above it for a rank, so that "the best ranked
-# date" is the minimum of one BIGINT, which aggregates in place.
+# date" is the minimum of one DECIMAL, which aggregates in place and has room for
+# any number of rules and streams.
 _DIGITS = 10**14
 _UNREADABLE = _DIGITS - 1
-_STEP = 1_000
+
+
+def _packed(high: Column, digits: Column) -> Column:
+    shifted = high.cast("decimal(19,0)") * F.lit(_DIGITS).cast("decimal(15,0)")
+    return (shifted + digits.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _low(packed: Column) -> Column:
+    return (packed % F.lit(_DIGITS).cast("decimal(15,0)")).cast("bigint")
+
+
+def _high(packed: Column) -> Column:
+    return F.call_function("div", packed, F.lit(_DIGITS).cast("decimal(15,0)")).cast("bigint")
 
 
 def _digits(wall: Column) -> Column:
@@ -74,16 +87,17 @@ def best_tag_date(tags: DataFrame, rules: tuple[TagRule, ...] = DATE_RULES) -> D
     """
     rules = tuple(sorted(rules, key=lambda rule: (rule.rank, rule.order)))
     at = range(len(rules))
+    step = len(rules) + 1
     streams = [i for i in at if rules[i].scope == "stream"]
 
     def weakness(rule: Column, ext: Column) -> Column:
         """How far a rule stays below the highest confidence for this file."""
-        step = None
+        found = None
         for weak in {one.weak for one in rules if one.weak}:
             members = [i for i in at if rules[i].weak == weak]
             test = rule.isin(*members) & ext.isin(*weak)
-            step = F.when(test, HIGH - MEDIUM) if step is None else step.when(test, HIGH - MEDIUM)
-        return F.lit(0) if step is None else step.otherwise(0)
+            found = F.when(test, HIGH - MEDIUM) if found is None else found.when(test, HIGH - MEDIUM)
+        return F.lit(0) if found is None else found.otherwise(0)
 
     rows = (
         # A plain test on the tag's name is one the scan can take over.
@@ -94,34 +108,34 @@ def best_tag_date(tags: DataFrame, rules: tuple[TagRule, ...] = DATE_RULES) -> D
         .withColumn("digits", _digits(_wall_by_rule(rules)))
     )
     is_stream = F.col("rule").isin(*streams) if streams else F.lit(False)
-    rank = weakness(F.col("rule"), F.col("ext")) * _STEP + F.col("rule")
-    packed = [F.min(F.when(~is_stream, rank * F.lit(_DIGITS) + F.col("digits"))).alias("direct")]
+    rank = weakness(F.col("rule"), F.col("ext")) * step + F.col("rule")
+    packed = [F.min(F.when(~is_stream, _packed(rank, F.col("digits")))).alias("direct")]
     for i in streams:
         filled = (F.col("rule") == i) & (F.col("value") != "")
-        first = F.col("stream_index") * F.lit(_DIGITS) + F.coalesce("digits", F.lit(_UNREADABLE))
+        first = _packed(F.col("stream_index"), F.coalesce("digits", F.lit(_UNREADABLE)))
         packed.append(F.min(F.when(filled, first)).alias(f"stream{i}"))
 
     ranked = [F.col("direct")]
     for i in streams:
-        digits = F.col(f"stream{i}") % _DIGITS
-        rank = weakness(F.lit(i), extension(F.col("path"))) * _STEP + i
-        ranked.append(F.when(digits != _UNREADABLE, rank * F.lit(_DIGITS) + digits))
+        digits = _low(F.col(f"stream{i}"))
+        rank = weakness(F.lit(i), extension(F.col("path"))) * step + i
+        ranked.append(F.when(digits != _UNREADABLE, _packed(rank, digits)))
     best = F.least(*ranked) if streams else ranked[0]
-    rank = F.call_function("div", F.col("best"), F.lit(_DIGITS)).cast("int")
+    rank = _high(F.col("best")).cast("int")
     sources = F.array(*[F.lit(rule.source) for rule in rules])
     return (
         rows.groupBy("path")
         .agg(*packed)
         .select("path", best.alias("best"))
         .where("best is not null")
-        .select("path", F.col("best") % _DIGITS, rank)
+        .select("path", _low(F.col("best")), rank)
         .toDF("path", "digits", "rank")
         .select(
             "path",
             _text(F.col("digits")).alias("date_wall"),
-            (F.lit(HIGH) - F.call_function("div", F.col("rank"), F.lit(_STEP))).cast("int")
+            (F.lit(HIGH) - F.call_function("div", F.col("rank"), F.lit(step))).cast("int")
             .alias("confidence"),
-            F.element_at(sources, F.col("rank") % _STEP + 1).alias("source"),
+            F.element_at(sources, F.col("rank") % step + 1).alias("source"),
         )
     )
 

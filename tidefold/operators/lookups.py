@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.operators.skew import HotKeys, balanced_join
-from tidefold.sources.ledger import known_hashes
+from tidefold.sources.ledger import known_hashes, ledger_hashes
 
 
 def _or_unmatched(key: Column) -> Column:
@@ -72,7 +72,7 @@ def new_content(
     hot_dest: HotKeys | None = None,
 ) -> DataFrame:
     """Rows known neither by content nor by destination."""
-    hashes = known_hashes(ledger).select("hash")
+    hashes = ledger_hashes(ledger)
     fresh = balanced_join(rows, hashes, "left_anti", hot_hash or HotKeys("hash"), "path")
     return balanced_join(fresh, listing, "left_anti", hot_dest or HotKeys("dest_path"), "path")
 
@@ -81,5 +81,5 @@ def insert_or_ignore(
     rows: DataFrame, ledger: DataFrame, hot: HotKeys | None = None
 ) -> DataFrame:
     """Drop rows whose content the ledger already holds."""
-    hashes = known_hashes(ledger).select("hash")
+    hashes = ledger_hashes(ledger)
     return balanced_join(rows, hashes, "left_anti", hot or HotKeys("hash"), "path")

@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from tidefold.functions import states
 from tidefold.functions.paths import walk_key
 from tidefold.operators.classify import RESULT_COLUMNS
+from tidefold.operators.components import components
 from tidefold.operators.skew import HOT_ROWS, HotKeys, balanced_join, measure_hot_keys
 from tidefold.session import Scratch
 
 log = logging.getLogger(__name__)
 
 # After this many rounds what is left is chains, which a round shortens by one
-# step only. Once they are few rows, by count, one task walks them.
+# step only. Each connected component of them is then walked in a task of its own.
 PATIENCE = 8
-REST_ROWS = 100_000
 
 
 def number_in_walk_order(rows: DataFrame) -> DataFrame:
@@ -55,51 +55,95 @@ def _certain(edges: DataFrame) -> DataFrame:
     return _first_per(edges, "dest_path").join(_first_per(edges, "hash"), "place")
 
 
-def _walk_rest(edges: DataFrame) -> DataFrame:
-    """Rows of a small remainder that get copied, by walking it in one task."""
+def _walk_rest(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of a remainder that get copied, by walking each component in order.
+
+    Rows that share no destination and no content, not even by others between
+    them, cannot bear on each other. Nodes are hashes of the two: should two
+    meet, components are walked together, with the same outcome. The number of
+    rounds grows with the logarithm of the rows; what remains serial is one
+    component, whatever the number of rows.
+    """
+    nodes = edges.withColumn("node", F.xxhash64(F.lit("d"), "dest_path"))
+    links = nodes.select("node", F.xxhash64(F.lit("h"), "hash").alias("other"))
+    parts = components(links.toDF("src", "dst"), scratch)
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = (
+        nodes.join(parts, "node")
+        .drop("node")
+        .repartition(width, "component")
+        .sortWithinPartitions("component", "place")
+    )
+
+    columns, schema = edges.columns, edges.schema
 
     def walk(batches):
-        dests, hashes = set(), set()
+        part, dests, hashes = None, set(), set()
         for batch in batches:
             won = []
-            for dest, digest in zip(batch["dest_path"], batch["hash"]):
+            for own, dest, digest in zip(batch["component"], batch["dest_path"], batch["hash"]):
+                if own != part:
+                    part, dests, hashes = own, set(), set()
                 won.append(dest not in dests and digest not in hashes)
                 if won[-1]:
                     dests.add(dest)
                     hashes.add(digest)
-            yield batch[won]
+            yield batch.loc[won, columns]
 
-    in_order = edges.coalesce(1).sortWithinPartitions("place")
-    return in_order.mapInPandas(walk, edges.schema)
+    return in_order.mapInPandas(walk, schema)
 
 
 def greedy_placement(
-    candidates: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS, patience: int = PATIENCE
+    candidates: DataFrame,
+    scratch: Scratch,
+    hot_rows: int = HOT_ROWS,
+    patience: int = PATIENCE,
+    hot: tuple[HotKeys, HotKeys] | None = None,
 ) -> DataFrame:
     """Candidates (``path, dest_path, hash, ...``) with ``state`` and
     ``existing_path`` settled; all other columns are kept.
 
     Per round: two combined aggregations, one join of their results on the row
     number, and two anti joins split on hot keys. Each round is written to the
-    shared folder, so a lost executor never replays earlier rounds. Rounds run
-    until no row is left; they are few unless rows form long chains, the last
-    ``REST_ROWS`` rows of which are walked in one go.
+    shared folder, so a lost executor never replays earlier rounds. Rounds are
+    few unless rows form long chains; what ``patience`` rounds leave is walked by
+    component. ``hot`` are the hot destinations and contents where measured.
+
+    A row without a destination is skipped for want of a date, one without a
+    hash is a hash error; neither bears on others.
     """
+    whole = F.col("dest_path").isNotNull() & F.col("hash").isNotNull()
+    unplaced = candidates.where(~whole).withColumns({
+        "state": F.when(F.col("dest_path").isNull(), states.SKIPPED_NO_DATE).otherwise(states.ERROR_HASH),
+        "existing_path": F.lit(None).cast("string"),
+    })
+    placed = _placed(candidates.where(whole), scratch, hot_rows, patience, hot)
+    return placed.unionByName(unplaced)
+
+
+def _placed(
+    candidates: DataFrame,
+    scratch: Scratch,
+    hot_rows: int,
+    patience: int,
+    hot: tuple[HotKeys, HotKeys] | None,
+) -> DataFrame:
     numbered, seen = scratch.save_measured(
         number_in_walk_order(candidates.drop("state", "existing_path")),
         "numbered",
         F.count(F.lit(1)).alias("rows"),
     )
-    hot_dest = measure_hot_keys(numbered, "dest_path", seen["rows"], hot_rows)
-    hot_hash = measure_hot_keys(numbered, "hash", seen["rows"], hot_rows)
+    hot_dest, hot_hash = hot or (
+        measure_hot_keys(numbered, column, seen["rows"], hot_rows) for column in ("dest_path", "hash")
+    )
 
     accepted = None
     edges = numbered.select("place", "dest_path", "hash")
     left, rounds = seen["rows"], 0
     while left:
         rounds += 1
-        last = rounds > patience and left <= REST_ROWS
-        won = scratch.save(_walk_rest(edges) if last else _certain(edges), f"won-{rounds}")
+        last = rounds > patience
+        won = scratch.save(_walk_rest(edges, scratch) if last else _certain(edges), f"won-{rounds}")
         accepted = won if accepted is None else accepted.unionByName(won)
         if last:
             break
@@ -143,12 +187,17 @@ def _label(
     )
 
 
-def final_results(static: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame:
+def final_results(
+    static: DataFrame,
+    scratch: Scratch,
+    hot_rows: int = HOT_ROWS,
+    hot: tuple[HotKeys, HotKeys] | None = None,
+) -> DataFrame:
     """One row per file: rows settled against earlier runs, and the candidates
     placed. The static states are read twice, so they are written once."""
     static = scratch.save(static, "static")
     is_candidate = F.col("state") == states.CANDIDATE
-    placed = greedy_placement(static.where(is_candidate), scratch, hot_rows)
+    placed = greedy_placement(static.where(is_candidate), scratch, hot_rows, hot=hot)
     every = static.where(~is_candidate).unionByName(placed.select(*RESULT_COLUMNS))
     copied = F.col("state") == states.COPIED
     return every.withColumn("bytes_copied", F.when(copied, F.col("size")).otherwise(0).cast("bigint"))

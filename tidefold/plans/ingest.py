@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +42,9 @@ class Inputs:
 class Target:
     """Where a run writes, and how destinations and report paths are named.
 
-    Below ``report_folder`` a run leaves ``rows``, ``summary``, ``badges`` and
-    ``recency``.
+    Below ``report_folder`` each run leaves a folder of its own, named by its time,
+    with ``rows``, ``summary``, ``badges``, ``recency``, ``reconciliation``,
+    ``errors``, ``by_state`` and ``months``.
     """
 
     dest_folder: str
@@ -93,8 +94,12 @@ def classify_run(
     hot_hash = measure_hot_keys(
         looked_up if "hash" not in keyed.columns else keyed, "hash", seen["rows"], hot_rows
     )
+    if inputs.payload is not None:
+        looked_up = classify.with_payload_known(looked_up, inputs.payload)
     settled = classify.with_states(looked_up, inputs.ledger, hot_hash)
-    return final_results(classify.with_rejected(settled, rejected), scratch, hot_rows)
+    # Candidates are some of these rows, so no key of theirs is hotter.
+    hot = (hot_dest, hot_hash)
+    return final_results(classify.with_rejected(settled, rejected), scratch, hot_rows, hot)
 
 
 def estimate_run(
@@ -155,9 +160,7 @@ def run_ingest(
     summary = scratch.save(accounting.accounting_summary(results, inputs.scan_errors), "summary")
     seconds = time.monotonic() - begin
     write_run_report(inputs, target, results, summary, as_of, incremental, seconds)
-    ledgers.append_ledger(
-        ledgers.ledger_rows(results, as_of), inputs.ledger, target.ledger_table
-    )
+    ledgers.write_ledger(results, as_of, target.ledger_table)
     return Outcome(gate, results, summary)
 
 
@@ -177,6 +180,16 @@ def write_run_report(
         "summary": accounting.outcome_bucket(summary),
         "badges": accounting.report_badges(results, errors, seconds),
         "recency": accounting.recency_bucket(context, as_of),
+        "reconciliation": accounting.reconciliation(summary),
+        "errors": report.error_rows(results, errors),
+        "by_state": accounting.accounting_by_state(results),
+        "months": accounting.month_totals(results),
     }
+    folder = run_folder(target, as_of)
     for name, table in tables.items():
-        sinks.write_report(table, f"{target.report_folder}/{name}")
+        sinks.write_report(table, f"{folder}/{name}")
+
+
+def run_folder(target: Target, as_of: datetime) -> str:
+    """Where the report of the run made at ``as_of`` lies."""
+    return f"{target.report_folder}/run-{as_of.astimezone(timezone.utc):%Y%m%dT%H%M%S.%fZ}"

@@ -26,9 +26,22 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.LEDGER)
 
 
+def ledger_hashes(ledger: DataFrame) -> DataFrame:
+    """The contents ever copied, as often as they are recorded: enough for semi and anti joins."""
+    return ledger.where(F.col("hash").isNotNull()).select("hash")
+
+
 def known_hashes(ledger: DataFrame) -> DataFrame:
-    """The two columns a duplicate lookup needs."""
-    return ledger.where(F.col("hash").isNotNull()).select("hash", "dest_path")
+    """What a duplicate lookup needs: one row per content, with the least of its paths.
+
+    A repeated append may record a content twice; reduced here, on the join's own
+    partitioning, it cannot double the rows of a lookup.
+    """
+    return (
+        ledger.where(F.col("hash").isNotNull())
+        .groupBy("hash")
+        .agg(F.min("dest_path").alias("dest_path"))
+    )
 
 
 def watermark(ledger: DataFrame) -> DataFrame:
@@ -53,7 +66,7 @@ def ledger_status(ledger: DataFrame, as_of: datetime) -> DataFrame:
     since = F.unix_seconds(F.lit(as_of)) - F.unix_seconds("last_backup")
     return ledger.agg(
         F.date_trunc("second", F.max("copied_at")).alias("last_backup"),
-        F.count("hash").alias("unique_hashes"),
+        F.count_distinct("hash").alias("unique_hashes"),
     ).select(
         F.date_format("last_backup", "yyyy-MM-dd HH:mm:ss").alias("last_backup"),
         ago_text(since).alias("ago"),
@@ -72,6 +85,11 @@ def first_per_hash(rows: DataFrame) -> DataFrame:
     return rows.groupBy("hash").agg(first.alias("row")).select("hash", "row.*")
 
 
+def write_ledger(results: DataFrame, copied_at: datetime, path: str) -> None:
+    """Record a run's copied rows, which placement has made unique and new by content."""
+    ledger_rows(results, copied_at).select(*schemas.LEDGER.names).write.mode("append").parquet(path)
+
+
 def ledger_rows(results: DataFrame, copied_at: datetime) -> DataFrame:
     """Ledger rows of the copied results of a run."""
     return results.where(F.col("state") == COPIED).select(
@@ -90,8 +108,7 @@ def new_ledger_rows(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     Reduced first: the lookup then meets each content once, whatever the number
     of its copies, on the partitioning the reduction has made.
     """
-    known = known_hashes(ledger).select("hash")
-    fresh = first_per_hash(rows).join(known, "hash", "left_anti")
+    fresh = first_per_hash(rows).join(ledger_hashes(ledger), "hash", "left_anti")
     return fresh.select(*schemas.LEDGER.names)
 
 

@@ -68,6 +68,11 @@ def walk_tree(spark: SparkSession, root: str, scratch: Scratch) -> tuple[DataFra
                 with os.scandir(folder) as listing:
                     for entry in listing:
                         try:
+                            # A name that is not UTF-8 cannot be a text: it is recorded.
+                            shown = os.fsencode(entry.path).decode("utf-8", "backslashreplace")
+                            if shown != entry.path:
+                                yield "error", shown, None, None, "name is not UTF-8"
+                                continue
                             info = entry.stat(follow_symlinks=False)
                             kind = "folder" if entry.is_dir(follow_symlinks=False) else "file"
                             yield kind, entry.path, info.st_mtime_ns // 1000, info.st_size, None

@@ -20,8 +20,12 @@ def accepted(results: DataFrame) -> DataFrame:
 
 
 def accepted_payload(results: DataFrame, payload: DataFrame) -> DataFrame:
-    """Payload columns of the copied rows, from a table joined on ``path``."""
-    return accepted(results).join(payload, "path")
+    """Payload columns of the copied rows, one row each, from a table joined on ``path``.
+
+    A path that the payload repeats is written once. Rows without payload are
+    none of the copied ones: classification makes them copy errors.
+    """
+    return accepted(results).join(payload, "path").dropDuplicates(["path"])
 
 
 def write_months(rows: DataFrame, folder: str) -> None:

@@ -99,6 +99,16 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def worn_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after appends that were repeated, and rows whose hash was lost."""
+    rows = ledger(spark, sf_dir)
+    again = rows.where("size % 2 = 0").withColumns({
+        "dest_path": F.concat("dest_path", F.lit("~")),
+        "hash": F.when(F.col("size") % 3 > 0, F.col("hash")),
+    })
+    return rows.unionByName(again)
+
+
 def dest_listing(ledger: DataFrame) -> DataFrame:
     return ledger.select("dest_path").distinct()
 

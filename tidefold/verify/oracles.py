@@ -119,6 +119,11 @@ ledger AS (
   QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1
 ),
 dest_listing AS (SELECT DISTINCT dest_path FROM ledger),
+worn_ledger AS (
+  SELECT * FROM ledger UNION ALL
+  SELECT src_path, dest_path || '~', CASE WHEN size % 3 > 0 THEN hash END, size, mtime, copied_at FROM ledger WHERE size % 2 = 0
+),
+known AS (SELECT hash, min(dest_path) AS dest_path FROM worn_ledger WHERE hash IS NOT NULL GROUP BY hash),
 scan_errors AS (
   SELECT '/src/unreadable/' || doc_id AS path, 'permission denied' AS message
   FROM documents WHERE doc_id % 97 = 0
@@ -317,9 +322,11 @@ messages AS (
 _GIB = "1073741824.0::DOUBLE"
 
 _SELECTS = {
+    "inventory_scan": """
+        SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY source""",
     "walk_order": "SELECT path, hex(replace(path, '/', chr(0))) AS walk_key FROM base",
     "scan_errors": "SELECT path, message FROM scan_errors",
-    "ledger_load": "SELECT hash, dest_path FROM ledger WHERE hash IS NOT NULL",
+    "ledger_load": "SELECT hash, dest_path FROM known",
     "dest_listing": "SELECT dest_path FROM dest_listing",
     "content_hash": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents",
     "month_partition_sink": f"""
@@ -400,12 +407,12 @@ _SELECTS = {
           count(*) AS files FROM best_dates GROUP BY ALL""",
     "ledger_duplicates": """
         SELECT b.path, b.hash, l.dest_path AS existing_path
-        FROM base b JOIN ledger l ON l.hash = b.hash""",
+        FROM base b JOIN known l ON l.hash = b.hash""",
     "dest_exists": "SELECT path, dest_path FROM keyed WHERE dest_path IN (FROM dest_listing)",
     "new_content": """
         SELECT path, dest_path, hash FROM keyed
-        WHERE hash NOT IN (SELECT hash FROM ledger) AND dest_path NOT IN (FROM dest_listing)""",
-    "insert_or_ignore": "SELECT path, hash FROM base WHERE hash NOT IN (SELECT hash FROM ledger)",
+        WHERE hash NOT IN (SELECT hash FROM known) AND dest_path NOT IN (FROM dest_listing)""",
+    "insert_or_ignore": "SELECT path, hash FROM base WHERE hash NOT IN (SELECT hash FROM known)",
     "plan_classification": "SELECT path, should_copy, planned_size, reason FROM planned",
     "static_classification": """
         SELECT path, dest_path, state, existing_path, error FROM static_rows""",
@@ -442,8 +449,8 @@ _SELECTS = {
     "watermark": f"SELECT strftime(max(copied_at), {_WALL}) AS last_backup FROM ledger",
     "ledger_status": f"""
         SELECT strftime(last, {_WALL}) AS last_backup, {_ago('since')} AS ago, unique_hashes
-        FROM (SELECT max(copied_at) AS last, count(hash) AS unique_hashes,
-          date_diff('second', max(copied_at), {_AS_OF}) AS since FROM ledger)""",
+        FROM (SELECT max(copied_at) AS last, count(DISTINCT hash) AS unique_hashes,
+          date_diff('second', max(copied_at), {_AS_OF}) AS since FROM worn_ledger)""",
     "oldest_file_age": f"""
         SELECT seconds AS oldest_seconds, {_age_text('seconds')} AS oldest_age FROM oldest""",
     "report_badges": f"""

@@ -51,8 +51,14 @@ def dated_inventory(spark, sf_dir):
 
 @query
 def inventory_scan(spark, sf_dir):
-    return listing.inventory_scan(spark, sf_dir, "*.parquet").select(
-        "path", dates.wall_clock(F.col("mtime")).alias("mtime"), "size"
+    """The documents written as text files by source, listed, and summed by folder."""
+    folder = f"{Scratch(spark).path}/texts"
+    fx.table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(folder)
+    source = F.regexp_extract("path", "/source=([^/]*)/", 1)
+    return (
+        listing.inventory_scan(spark, folder)
+        .groupBy(source.alias("source"))
+        .agg(F.sum("size").cast("bigint").alias("bytes"))
     )
 
 
@@ -70,7 +76,7 @@ def scan_errors(spark, sf_dir):
 
 @query
 def ledger_load(spark, sf_dir):
-    return ledgers.known_hashes(fx.ledger(spark, sf_dir))
+    return ledgers.known_hashes(fx.worn_ledger(spark, sf_dir))
 
 
 @query
@@ -330,7 +336,7 @@ def date_source_profile(spark, sf_dir):
 
 @query
 def ledger_duplicates(spark, sf_dir):
-    rows, known = fx.inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
+    rows, known = fx.inventory(spark, sf_dir), fx.worn_ledger(spark, sf_dir)
     found = lookups.ledger_duplicates(rows, known, measure_hot_keys(rows, "hash"))
     return found.select("path", "hash", "existing_path")
 
@@ -346,13 +352,14 @@ def dest_exists(spark, sf_dir):
 def new_content(spark, sf_dir):
     rows, known = keyed_inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
     hot = [measure_hot_keys(rows, column) for column in ("hash", "dest_path")]
-    fresh = lookups.new_content(rows, known, fx.dest_listing(known), *hot)
+    worn = fx.worn_ledger(spark, sf_dir)
+    fresh = lookups.new_content(rows, worn, fx.dest_listing(known), *hot)
     return fresh.select("path", "dest_path", "hash")
 
 
 @query
 def insert_or_ignore(spark, sf_dir):
-    rows, known = fx.inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
+    rows, known = fx.inventory(spark, sf_dir), fx.worn_ledger(spark, sf_dir)
     kept = lookups.insert_or_ignore(rows, known, measure_hot_keys(rows, "hash"))
     return kept.select("path", "hash")
 
@@ -431,7 +438,7 @@ def watermark(spark, sf_dir):
 
 @query
 def ledger_status(spark, sf_dir):
-    return ledgers.ledger_status(fx.ledger(spark, sf_dir), fx.AS_OF)
+    return ledgers.ledger_status(fx.worn_ledger(spark, sf_dir), fx.AS_OF)
 
 
 @query
