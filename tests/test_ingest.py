@@ -255,6 +255,47 @@ def test_rows_without_payload_are_errors_and_repeated_payload_is_written_once(sp
     assert len(told) == 1 and any("/a/x.jpg" in str(cell) for cell in told[0])
 
 
+def test_files_that_fail_between_hashing_and_copying(spark, place, monkeypatch):
+    """One removed, one changed, one locked away: the run ends and all counts agree."""
+    source, target = place
+    many = [write(source, f"d/{n}.jpg", b"%d" % n) for n in range(5)]
+    copy = write(source, "e/again.jpg", b"0")
+    accepted = sinks.accepted
+
+    def then_spoil(results):
+        rows = accepted(results)
+        if os.path.exists(many[0]):
+            os.remove(many[0])
+            write(source, "d/1.jpg", b"new content")
+            os.remove(many[2])
+            os.mkdir(many[2])
+        return rows
+
+    monkeypatch.setattr(sinks, "accepted", then_spoil)
+    outcome = ingest(spark, source, target, FIRST)
+    told = {path: (state, error) for path, state, error in values(outcome.results, "path", "state", "error")}
+    assert told[many[0]] == (states.ERROR_COPY, "No such file or directory")
+    assert told[many[1]] == (states.ERROR_COPY, "content changed since it was hashed")
+    assert told[many[2]] == (states.ERROR_COPY, "Is a directory")
+    assert told[copy] == (states.ERROR_COPY, f"gave way to a file that was not copied: {many[0]}")
+    assert told[many[3]][0] == told[many[4]][0] == states.COPIED
+    summary = outcome.summary.first()
+    assert summary["errors"] == 4 and summary["copied"] == 5
+    assert accounting.reconciliation(outcome.summary).first()["reconciled"]
+    written = spark.read.parquet(target.payload_table).select("dest_path", "hash", F.md5("content").alias("md5"))
+    ledger = ledgers.open_ledger(spark, target.ledger_table)
+    assert sorted(values(ledger, "dest_path", "hash")) == sorted(values(written, "dest_path", "md5"))
+    assert ledger.count() == written.where("hash = md5").count() == 5
+
+
+def test_a_spoiled_file_of_many_parts_leaves_no_part(spark, tmp_path):
+    good, bad = write(str(tmp_path), "good", b"ab" * 999), write(str(tmp_path), "bad", b"cd" * 999)
+    planned = [(path, hashlib.md5(b"ab" * 999).hexdigest()) for path in (good, bad)]
+    rows = spark.createDataFrame(planned + [("/no/such", "h")], "path string, hash string")
+    parts = sinks.with_content(rows, part_bytes=100).groupBy("path").count()
+    assert values(parts, "path", "count") == [(good, 20)]
+
+
 def test_each_run_leaves_a_report(spark, place):
     source, target = place
     for as_of in (FIRST, LATER):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold import schemas
+from tidefold.functions import states
 from tidefold.operators import accounting, classify, report
 from tidefold.operators.dating import best_date, effective_date
 from tidefold.operators.lookups import with_dest_taken
@@ -102,6 +104,37 @@ def classify_run(
     return final_results(classify.with_rejected(settled, rejected), scratch, hot_rows, hot)
 
 
+def with_copy_errors(results: DataFrame, failed: DataFrame, digest: str = "md5") -> DataFrame:
+    """Results in which the ``failed`` ones of the copied rows are copy errors.
+
+    So are the rows of the run that gave way to them, as duplicates or for their
+    destination: nothing holds their content either. The failed files are read
+    once more for the reason, as the write tells only which are missing.
+    """
+    named = {"path": "_holder", "hash": "_planned", "dest_path": "_held"}
+    seen = listings.hash_files(failed.withColumnsRenamed(named).withColumn("path", F.col("_holder")), digest)
+    changed = F.when(F.col("hash") != F.col("_planned"), "content changed since it was hashed")
+    reason = F.coalesce("read_error", changed, F.lit("could not be read while it was copied"))
+    reasons = seen.select("_holder", "_held", reason.alias("_reason"))
+    counts_on = F.when(
+        F.col("state").isin(states.COPIED, states.DUPLICATE, states.SKIPPED_DEST_EXISTS),
+        F.coalesce("existing_path", "dest_path"),
+    )
+    # Rows without such a key get one of their own; null keys would meet in one task.
+    keyed = results.withColumn("_held", F.coalesce(counts_on, F.concat(F.lit("none:"), "path")))
+    missed = F.col("_holder").isNotNull()
+    own = F.col("_holder") == F.col("path")
+    message = F.when(own, F.col("_reason")).otherwise(
+        F.concat(F.lit("gave way to a file that was not copied: "), "_holder")
+    )
+    return keyed.join(reasons, "_held", "left").withColumns({
+        "state": F.when(missed, states.ERROR_COPY).otherwise(F.col("state")),
+        "existing_path": F.when(~missed, F.col("existing_path")),
+        "error": F.when(missed, message).otherwise(F.col("error")),
+        "bytes_copied": F.when(missed, 0).otherwise(F.col("bytes_copied")).cast("bigint"),
+    }).select(*results.columns)
+
+
 def estimate_run(
     inputs: Inputs, mark: Column, dest_folder: str, available_bytes: int
 ) -> DataFrame:
@@ -151,7 +184,10 @@ def run_ingest(
     classified = classify_run(inputs, mark, target.dest_folder, scratch, digest=digest)
     results = scratch.save(classified, "results")
     if inputs.payload is None:
-        sinks.write_files_by_month(results, target.payload_table)
+        failed = sinks.write_files_by_month(results, target.payload_table, uuid.uuid4().hex, digest)
+        failed = scratch.save(failed, "failed")
+        if not failed.isEmpty():
+            results = scratch.save(with_copy_errors(results, failed, digest), "settled")
     else:
         payload = sinks.accepted_payload(results, inputs.payload)
         sinks.write_months(payload, target.payload_table)

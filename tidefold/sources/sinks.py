@@ -39,29 +39,60 @@ def write_months(rows: DataFrame, folder: str) -> None:
     balanced.write.mode("append").partitionBy("month").parquet(folder)
 
 
-def with_content(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def with_content(rows: DataFrame, part_bytes: int = PART_BYTES, digest: str = "md5") -> DataFrame:
     """Add ``part`` and ``content`` by reading each row's file in its task.
 
     A file of any size becomes as many rows as it has parts (one for an empty
-    file), so neither a column limit nor memory bounds it.
+    file), so neither a column limit nor memory bounds it. A file that cannot be
+    read, or whose content no longer has the row's ``hash``, gives no row at all.
+    A file of several parts is read twice, as its first part may only leave once
+    the last is known to be good; should it change in between, the task fails,
+    and its retry, which writes nothing twice, finds the file changed.
     """
 
     def read(batches):
+        import hashlib
+
+        def pieces(path):
+            with open(path, "rb") as source:
+                piece = source.read(part_bytes)
+                yield piece
+                while piece := source.read(part_bytes):
+                    yield piece
+
+        def good_pieces(path, wanted):
+            try:
+                state, count = hashlib.new(digest), 0
+                for piece in pieces(path):
+                    state.update(piece)
+                    count += 1
+            except OSError:
+                return
+            if isinstance(wanted, str) and state.hexdigest() != wanted:
+                return
+            if count == 1:
+                yield piece
+                return
+            again = hashlib.new(digest)
+            for piece in pieces(path):
+                again.update(piece)
+                yield piece
+            if again.digest() != state.digest():
+                raise OSError(f"{path} changed while it was copied")
+
         for batch in batches:
             at, parts, contents, held = [], [], [], 0
-            for position, path in enumerate(batch["path"]):
-                with open(path, "rb") as source:
-                    part, content = 0, source.read(part_bytes)
-                    while content or part == 0:
-                        at.append(position)
-                        parts.append(part)
-                        contents.append(content)
-                        held += len(content)
-                        # Small files leave together, a large one in pieces.
-                        if held >= part_bytes:
-                            yield batch.iloc[at].assign(part=parts, content=contents)
-                            at, parts, contents, held = [], [], [], 0
-                        part, content = part + 1, source.read(part_bytes)
+            hashes = batch["hash"] if "hash" in batch else [None] * len(batch)
+            for position, (path, wanted) in enumerate(zip(batch["path"], hashes)):
+                for part, content in enumerate(good_pieces(path, wanted)):
+                    at.append(position)
+                    parts.append(part)
+                    contents.append(content)
+                    held += len(content)
+                    # Small files leave together, a large one in pieces.
+                    if held >= part_bytes:
+                        yield batch.iloc[at].assign(part=parts, content=contents)
+                        at, parts, contents, held = [], [], [], 0
             if at:
                 yield batch.iloc[at].assign(part=parts, content=contents)
 
@@ -69,15 +100,21 @@ def with_content(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     return rows.mapInPandas(read, T.StructType(rows.schema.fields + added))
 
 
-def write_files_by_month(results: DataFrame, folder: str) -> None:
-    """Append the content of the copied files under ``month=YYYY-MM``.
+def write_files_by_month(results: DataFrame, folder: str, run: str, digest: str = "md5") -> DataFrame:
+    """Append the content of the copied files under ``month=YYYY-MM``; return the
+    accepted rows whose file could not be copied as it was hashed.
 
     Only the accepted rows are spread over tasks, by month and path, as many as
     their content needs; content is read where it is written and never shuffled.
+    Written rows carry the name of their ``run``, by which they are found again.
     """
     rows = accepted(results)
     spread = rows.repartitionByRange(tasks_for_content(rows), "month", "path")
-    with_content(spread).write.mode("append").partitionBy("month").parquet(folder)
+    content = with_content(spread, digest=digest).withColumn("run", F.lit(run))
+    content.write.mode("append").partitionBy("month").parquet(folder)
+    written = rows.sparkSession.read.schema("dest_path string, part bigint, run string").parquet(folder)
+    landed = written.where((F.col("run") == run) & (F.col("part") == 0))
+    return rows.join(landed.select("dest_path"), "dest_path", "left_anti")
 
 
 def write_report(rows: DataFrame, folder: str, form: str = "parquet") -> None:
