@@ -116,6 +116,11 @@ def walk_tree(spark: SparkSession, root: str, scratch: Scratch) -> tuple[DataFra
     listed = levels[0]
     for level in levels[1:]:
         listed = listed.unionByName(level)
+    return split_walk(listed)
+
+
+def split_walk(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(inventory, scan_errors)`` of what a walk met, by its ``kind``."""
     inventory = listed.where("kind = 'file'").select(
         "path", F.timestamp_micros("mtime_us").alias("mtime"), "size"
     )

@@ -16,6 +16,7 @@ from tidefold.operators.classify import static_classification
 from tidefold.plans.ingest import Inputs, classify_run
 from tidefold.session import Scratch
 from tidefold.sources.ledger import watermark_seconds
+from tidefold.sources.listing import split_walk
 
 SRC, DEST = "/src", "/dest"
 AS_OF = datetime(2024, 3, 5, 12, 34, 56, tzinfo=timezone.utc)
@@ -80,9 +81,17 @@ def faulty_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base(spark, sf_dir).where(
-        (F.col("doc_id") % 10 == 0) & extension(F.col("path")).isin(*ALLOWED_EXTENSIONS)
-    )
+    """What an earlier run recorded, when a tenth of the documents were there."""
+    return _recorded(base(spark, sf_dir).where("doc_id % 10 = 0"), F.lit(LAST_RUN))
+
+
+def full_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of all documents, each copied a day after its last change."""
+    return _recorded(base(spark, sf_dir), F.expr("row.mtime + INTERVAL 1 DAY"))
+
+
+def _recorded(rows: DataFrame, copied_at: Column) -> DataFrame:
+    rows = rows.where(extension(F.col("path")).isin(*ALLOWED_EXTENSIONS))
     first = F.min_by(F.struct("path", "size", "mtime"), "doc_id").alias("row")
     month = F.date_format("row.mtime", "yyyy-MM")
     return (
@@ -94,14 +103,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             "hash",
             "row.size",
             F.unix_seconds("row.mtime").alias("mtime"),
-            F.lit(LAST_RUN).alias("copied_at"),
+            copied_at.alias("copied_at"),
         )
     )
 
 
-def worn_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger after appends that were repeated, and rows whose hash was lost."""
-    rows = ledger(spark, sf_dir)
+def worn(rows: DataFrame) -> DataFrame:
+    """A ledger after appends that were repeated, and rows whose hash was lost."""
     again = rows.where("size % 2 = 0").withColumns({
         "dest_path": F.concat("dest_path", F.lit("~")),
         "hash": F.when(F.col("size") % 3 > 0, F.col("hash")),
@@ -113,17 +121,22 @@ def dest_listing(ledger: DataFrame) -> DataFrame:
     return ledger.select("dest_path").distinct()
 
 
-def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "documents")
-        .where("doc_id % 97 = 0")
-        .select(
-            F.concat(F.lit(f"{SRC}/unreadable/"), "doc_id").alias("path"),
-            F.lit("permission denied").alias("message"),
-        )
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a walk meets: a file per document, or a folder it may not enter."""
+    refused = F.col("doc_id") % 97 == 0
+    return base(spark, sf_dir).select(
+        F.when(refused, "error").otherwise("file").alias("kind"),
+        F.when(refused, F.concat(F.lit(f"{SRC}/unreadable/"), "doc_id")).otherwise(F.col("path")).alias("path"),
+        F.when(~refused, F.unix_micros("mtime")).alias("mtime_us"),
+        F.when(~refused, F.col("size")).alias("size"),
+        F.when(refused, "permission denied").alias("message"),
     )
 
 
+def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_walk(walked(spark, sf_dir))[1]
+
+
 def _tag(scope: str, tag: str, value: Column, index: int = -1) -> Column:
     return F.struct(
         F.lit(scope).alias("scope"),

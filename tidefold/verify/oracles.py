@@ -118,6 +118,16 @@ ledger AS (
   FROM keyed WHERE doc_id % 10 = 0 AND {_ext('path')} IN {_ALLOWED}
   QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1
 ),
+full_ledger AS (
+  SELECT path AS src_path, dest_path, hash, size, epoch(mtime)::BIGINT AS mtime,
+    mtime + INTERVAL 1 DAY AS copied_at
+  FROM keyed WHERE {_ext('path')} IN {_ALLOWED}
+  QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1
+),
+full_worn AS (
+  SELECT * FROM full_ledger UNION ALL
+  SELECT src_path, dest_path || '~', CASE WHEN size % 3 > 0 THEN hash END, size, mtime, copied_at FROM full_ledger WHERE size % 2 = 0
+),
 dest_listing AS (SELECT DISTINCT dest_path FROM ledger),
 worn_ledger AS (
   SELECT * FROM ledger UNION ALL
@@ -326,8 +336,9 @@ _SELECTS = {
         SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY source""",
     "walk_order": "SELECT path, hex(replace(path, '/', chr(0))) AS walk_key FROM base",
     "scan_errors": "SELECT path, message FROM scan_errors",
-    "ledger_load": "SELECT hash, dest_path FROM known",
-    "dest_listing": "SELECT dest_path FROM dest_listing",
+    "ledger_load": """
+        SELECT hash, min(dest_path) AS dest_path FROM full_worn WHERE hash IS NOT NULL GROUP BY hash""",
+    "dest_listing": "SELECT DISTINCT dest_path FROM full_ledger",
     "content_hash": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents",
     "month_partition_sink": f"""
         SELECT r.month, r.path, r.dest_path, strftime(r.mtime, {_WALL}) AS mtime,
@@ -366,7 +377,7 @@ _SELECTS = {
           {_parsed('value', colon_only=True)} AS exif_wall FROM date_texts""",
     "confidence_downgrade": f"""
         SELECT path, CASE WHEN {_ext('path')} IN ('.avi', '.webm') THEN 'medium' ELSE 'high' END
-          AS label FROM base WHERE {_ext('path')} IN {_VIDEOS}""",
+          AS label FROM base""",
     "relative_path": """
         SELECT path, 'src' || substr(path, 5) AS shown, '..' || path AS shown_outside,
           path AS unchanged FROM base""",
@@ -446,11 +457,11 @@ _SELECTS = {
           copied + skipped + duplicates + errors = total_files + walk_errors AS reconciled,
           copied + skipped + duplicates + errors = total_files AS files_only
         FROM summary""",
-    "watermark": f"SELECT strftime(max(copied_at), {_WALL}) AS last_backup FROM ledger",
+    "watermark": f"SELECT strftime(max(copied_at), {_WALL}) AS last_backup FROM full_ledger",
     "ledger_status": f"""
         SELECT strftime(last, {_WALL}) AS last_backup, {_ago('since')} AS ago, unique_hashes
         FROM (SELECT max(copied_at) AS last, count(DISTINCT hash) AS unique_hashes,
-          date_diff('second', max(copied_at), {_AS_OF}) AS since FROM worn_ledger)""",
+          date_diff('second', max(copied_at), {_AS_OF}) AS since FROM full_worn)""",
     "oldest_file_age": f"""
         SELECT seconds AS oldest_seconds, {_age_text('seconds')} AS oldest_age FROM oldest""",
     "report_badges": f"""

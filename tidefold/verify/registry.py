@@ -76,7 +76,7 @@ def scan_errors(spark, sf_dir):
 
 @query
 def ledger_load(spark, sf_dir):
-    return ledgers.known_hashes(fx.worn_ledger(spark, sf_dir))
+    return ledgers.known_hashes(fx.worn(fx.full_ledger(spark, sf_dir)))
 
 
 @query
@@ -84,7 +84,7 @@ def dest_listing(spark, sf_dir):
     """Keys taken, read back from a written payload table."""
     folder = f"{Scratch(spark).path}/payload"
     month = F.element_at(F.split("dest_path", "/"), -2)
-    sinks.write_months(fx.ledger(spark, sf_dir).withColumn("month", month), folder)
+    sinks.write_months(fx.full_ledger(spark, sf_dir).withColumn("month", month), folder)
     return listing.dest_listing(spark.read.parquet(folder))
 
 
@@ -193,8 +193,8 @@ def parse_tag_date(spark, sf_dir):
 @query
 def confidence_downgrade(spark, sf_dir):
     ext = paths.extension(F.col("path"))
-    videos = fx.inventory(spark, sf_dir).where(ext.isin(*dates.EXTRACTORS["Video"]))
-    return videos.select("path", dates.confidence_label(dates.tag_confidence(ext)).alias("label"))
+    label = dates.confidence_label(dates.tag_confidence(ext))
+    return fx.inventory(spark, sf_dir).select("path", label.alias("label"))
 
 
 @query
@@ -336,7 +336,7 @@ def date_source_profile(spark, sf_dir):
 
 @query
 def ledger_duplicates(spark, sf_dir):
-    rows, known = fx.inventory(spark, sf_dir), fx.worn_ledger(spark, sf_dir)
+    rows, known = fx.inventory(spark, sf_dir), fx.worn(fx.ledger(spark, sf_dir))
     found = lookups.ledger_duplicates(rows, known, measure_hot_keys(rows, "hash"))
     return found.select("path", "hash", "existing_path")
 
@@ -352,14 +352,14 @@ def dest_exists(spark, sf_dir):
 def new_content(spark, sf_dir):
     rows, known = keyed_inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
     hot = [measure_hot_keys(rows, column) for column in ("hash", "dest_path")]
-    worn = fx.worn_ledger(spark, sf_dir)
+    worn = fx.worn(fx.ledger(spark, sf_dir))
     fresh = lookups.new_content(rows, worn, fx.dest_listing(known), *hot)
     return fresh.select("path", "dest_path", "hash")
 
 
 @query
 def insert_or_ignore(spark, sf_dir):
-    rows, known = fx.inventory(spark, sf_dir), fx.worn_ledger(spark, sf_dir)
+    rows, known = fx.inventory(spark, sf_dir), fx.worn(fx.ledger(spark, sf_dir))
     kept = lookups.insert_or_ignore(rows, known, measure_hot_keys(rows, "hash"))
     return kept.select("path", "hash")
 
@@ -433,12 +433,12 @@ def reconciliation(spark, sf_dir):
 @query
 def watermark(spark, sf_dir):
     last = dates.wall_clock(F.col("last_backup")).alias("last_backup")
-    return ledgers.watermark(fx.ledger(spark, sf_dir)).select(last)
+    return ledgers.watermark(fx.full_ledger(spark, sf_dir)).select(last)
 
 
 @query
 def ledger_status(spark, sf_dir):
-    return ledgers.ledger_status(fx.worn_ledger(spark, sf_dir), fx.AS_OF)
+    return ledgers.ledger_status(fx.worn(fx.full_ledger(spark, sf_dir)), fx.AS_OF)
 
 
 @query
