@@ -210,6 +210,21 @@ def test_digests_of_files_and_columns_agree(spark, tmp_path):
         assert column.first()[0] == got[path]
 
 
+def test_tasks_are_cut_by_bytes_of_content(spark):
+    """A few large files beside many small ones: no task gets far more than its share."""
+    most = 100 << 20
+    sizes = [90 << 20] * 12 + [1 << 20] * 300 + [None] * 20
+    rows = [(f"/f/{n}", size, f"m{n % 3}") for n, size in enumerate(sizes)]
+    files = spark.createDataFrame(rows, "path string, size bigint, month string")
+    spread = listing.spread_by_content(files, ("month",), task_bytes=most)
+    tasks = spread.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.sum("size").alias("bytes"), F.count_distinct("month").alias("months")
+    ).collect()
+    assert sorted(values(spread, "path")) == sorted((path,) for path, _, _ in rows)
+    assert len(tasks) > 10 and max(row["bytes"] for row in tasks) <= most + (90 << 20)
+    assert sum(row["months"] for row in tasks) <= len(tasks) + 3
+
+
 def test_content_larger_than_a_part_comes_in_order(spark, tmp_path):
     content = bytes(range(256)) * 10
     big, empty = write(str(tmp_path), "big", content), write(str(tmp_path), "empty", b"")

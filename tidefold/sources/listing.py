@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -128,15 +128,35 @@ def split_walk(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inventory, errors
 
 
-# Content one task reads.
+# Content one task reads, and what opening a file counts for.
 TASK_BYTES = 1 << 30
+OPEN_BYTES = 1 << 18
 
 
-def tasks_for_content(files: DataFrame, at_least: int = 1) -> int:
-    """Tasks for reading all files, by the bytes they hold: rows of a listing
-    are small, so partitions sized by rows would read far too much each."""
-    total = files.agg(F.sum("size")).first()[0] or 0
-    return max(at_least, ceil(total / TASK_BYTES))
+def spread_by_content(
+    files: DataFrame, groups: tuple[str, ...] = (), at_least: int = 1, task_bytes: int = TASK_BYTES
+) -> DataFrame:
+    """The files dealt to tasks by the bytes they hold, those of a group side by side.
+
+    A task gets ``task_bytes`` or less (if ``at_least`` tasks are asked for) and at
+    most one file beyond them: rows of a listing are small, so partitions sized by
+    rows would read far too much each. Bytes are summed within buckets, and over the
+    buckets before, of which there are a fixed number for each group.
+    """
+    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weight = F.greatest(F.coalesce("size", F.lit(0)), F.lit(OPEN_BYTES))
+    weighed = files.withColumns({"_weight": weight, "_bucket": F.pmod(F.xxhash64("path"), F.lit(width))})
+    total = weighed.agg(F.sum("_weight")).first()[0] or 0
+    tasks = max(at_least, ceil(total / task_bytes))
+    key = [*groups, "_bucket"]
+    earlier = (Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*key).orderBy("path").rowsBetween(*earlier)
+    sums = weighed.groupBy(*key).agg(F.sum("_weight").alias("_all"))
+    over = F.sum("_all").over(Window.orderBy(*key).rowsBetween(*earlier))
+    starts = sums.select(*key, F.coalesce(over, F.lit(0)).alias("_start"))
+    before = F.col("_start") + F.coalesce(F.sum("_weight").over(within), F.lit(0))
+    placed = weighed.join(starts, key).withColumn("_task", F.floor(before * tasks / max(total, 1)).cast("int"))
+    return placed.repartitionById(tasks, F.col("_task")).select(*files.columns)
 
 
 def hash_files(files: DataFrame, digest: str = "md5") -> DataFrame:
@@ -144,12 +164,12 @@ def hash_files(files: DataFrame, digest: str = "md5") -> DataFrame:
 
     For files beyond the 2 GiB a binary column can hold. Only paths and digests
     move; content is read once, inside the task. The files (``path, size, ...``)
-    are spread by path over as many tasks as their content needs.
+    are spread over as many tasks as their content needs.
     """
     if digest not in DIGESTS:
         raise ValueError(f"digest must be one of {DIGESTS}")
     width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = files.repartition(tasks_for_content(files, width), "path")
+    files = spread_by_content(files, at_least=width)
 
     def digest_of(batches):
         import hashlib

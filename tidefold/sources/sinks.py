@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefold.functions.states import COPIED
-from tidefold.sources.listing import tasks_for_content
+from tidefold.sources.listing import spread_by_content
 
 ACCEPTED = ("path", "dest_path", "month", "hash", "size", "mtime")
 
@@ -104,13 +104,12 @@ def write_files_by_month(results: DataFrame, folder: str, run: str, digest: str
     """Append the content of the copied files under ``month=YYYY-MM``; return the
     accepted rows whose file could not be copied as it was hashed.
 
-    Only the accepted rows are spread over tasks, by month and path, as many as
-    their content needs; content is read where it is written and never shuffled.
+    Only the accepted rows are spread over tasks, by month and by the bytes
+    they hold; content is read where it is written and never shuffled.
     Written rows carry the name of their ``run``, by which they are found again.
     """
     rows = accepted(results)
-    spread = rows.repartitionByRange(tasks_for_content(rows), "month", "path")
-    content = with_content(spread, digest=digest).withColumn("run", F.lit(run))
+    content = with_content(spread_by_content(rows, ("month",)), digest=digest).withColumn("run", F.lit(run))
     content.write.mode("append").partitionBy("month").parquet(folder)
     written = rows.sparkSession.read.schema("dest_path string, part bigint, run string").parquet(folder)
     landed = written.where((F.col("run") == run) & (F.col("part") == 0))
