@@ -84,8 +84,48 @@ SELECT page_id, j.host, path, rule,
 FROM j LEFT JOIN scores USING (host)"""
 
 
+FILTER_AUDIT = """
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+f AS (
+  SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+t AS (
+  SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS fails,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT concat(p.name, q.name, r.name, s.name, u.name) AS filter_order, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits
+  FROM x p, x q, x r, x s, x u WHERE p.bit + q.bit + r.bit + s.bit + u.bit = 31
+   AND (p.bit | q.bit | r.bit | s.bit | u.bit) = 31),
+k AS (
+  SELECT filter_order, step, bits[step] AS own, CAST(list_sum(list_slice(bits, 1, step)) AS INT) - bits[step] AS earlier
+  FROM o, range(1, 6) AS steps(step)),
+g AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (fails & (earlier | own) = 0) AS kept,
+         sum(n) FILTER (fails & (earlier | own) = own) AS removed,
+         sum(n) FILTER (fails & own = own AND fails & earlier <> 0) AS redundant,
+         sum(n) FILTER (fails = own) AS unique_fails,
+         sum(good) FILTER (fails & (earlier | own) = own) AS good_lost,
+         sum(toxic) FILTER (fails & (earlier | own) = own) AS toxic_lost
+  FROM t, k GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+       CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM g"""
+
+
 # DuckDB has no SHA-1: digests are left to the tests, and the rest compares.
 ORACLES = {
     "op2_url_filter": _url_filter(),
     "op8_source_mixing": MIXING,
+    "op12_filter_audit": FILTER_AUDIT,
 }
