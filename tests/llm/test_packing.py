@@ -14,7 +14,7 @@ TOKENIZER = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
 ODD = [
     "", " ", "  a  b ", "a <|endoftext|> b<|endoftext|>c", "x\n y\t z \n", "a  b  c\x1c d\x1fe", "don't 'S I'm THEY'LL",
     "日本語 テキスト 🙂 é̀ é ́x", "a\x85 b\xa0c", "İstanbul Iı ẞ K Å ŉ ǅ Σας ΣΣ", "a é ñandu, ö. ſt µm ªb, ĳs œuvre!? x.y,",
-    "<|startoftext|>", "a,. b?! c;", "١٢ ½ x² ª 123 4a5", " a  b", "ABC,Def. GHI",
+    "<|startoftext|>", "word|> <| x<|endoftext|>$$$ a's' b_'d __ c''s'", "a,. b?! c;", "١٢ ½ x² ª 123 4a5", " a  b", "ABC,Def. GHI",
 ]
 
 
@@ -36,7 +36,7 @@ def test_ids_equal_the_tokenizer(documents):
 
 def test_random_texts_equal_the_tokenizer():
     random.seed(6)
-    pick = "ab Ab1 .,!'\n\t sS éßÉİK日\x1c<|>́\xa0"
+    pick = "ab Ab1 .,!'\n\t sS éßÉİK日\x1c<|>́\xa0$_&"
     texts = ["".join(random.choices(pick, k=random.randint(0, 40))) for _ in range(4_000)]
     assert ids_of(ChunkIds(VOCABULARY), texts) == list(map(whole, texts))
 

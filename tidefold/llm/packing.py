@@ -11,9 +11,9 @@ The pieces are written before they are numbered further: a lost executor replays
 tasks, never a plan over other numbers.
 
 Ids: this tokenizer drops white space and merges nothing across it, so a text is the
-ids of its chunks between ASCII white space, and each distinct chunk is encoded once
-while known (``KNOWN_CHUNKS`` at most). Words of Latin letters go straight to the
-merge model. The tokenizer file is looked up among the public files on each executor.
+ids of its chunks between ASCII white space, and a worker encodes each distinct chunk
+once while it knows it (``KNOWN_CHUNKS`` at most). Words of Latin letters go straight
+to the merge model. The tokenizer file is looked up among the public files on each executor.
 
 Defined results: a null or empty text, or one of white space alone, is its end id
 alone; repeated rows and null ids come out each; an empty table gives no rows; other
@@ -26,6 +26,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -36,21 +38,23 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import scratch_of, whole_batches
 from tidefold.llm.patterns import Plan, plan_packing
-from tidefold.llm.tokens import MARKS, is_latin_word
+from tidefold.llm.tokens import is_latin_word
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
 BLOCK_BYTES = 8 << 20
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 1_200_000
+# Marks behind a word; a run of them is one unit of merging. An apostrophe may begin another.
+_MARKS = punctuation.replace("'", "").encode()
 # Ranks of one length stay below this power of two.
 _RANK_BITS = 48
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-class ChunkIds:
-    """Little-endian unsigned 32-bit ids of chunks without ASCII white space."""
+class ChunkIds(dict):
+    """Little-endian unsigned 32-bit ids of chunks without ASCII white space, filled as chunks are met."""
 
     def __init__(self, file: str, most: int = KNOWN_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,53 +64,59 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.most = most
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         # The visible characters that stand for a letter's bytes, as the tokenizer itself says.
         show = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.visible = {ord(c): "".join(part for part, _ in show(c)) for c in map(chr, range(0xC0, 0x250)) if c.isalpha()}
 
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+    def of_text(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of_word(self, word: str) -> bytes:
+    def of_word(self, low: bytes) -> bytes:
         """Of Latin letters in lower case, which are one unit of merging."""
-        shown = word if word.isascii() else word.translate(self.visible)
-        return np.array([token.id for token in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-
-    def learn(self, chunks: Iterable[bytes]) -> None:
-        others = []
-        for chunk in chunks:
-            text = chunk.decode()
-            word = text.rstrip(MARKS)
+        ids = self.words.get(low)
+        if ids is None:
+            shown = low.decode()
+            if not shown.isascii():
+                shown = shown.translate(self.visible)
+            four = self.four
+            ids = self.words[low] = b"".join([four[token.id] for token in self.merge(shown)])
+        return ids
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(_MARKS)
+        # Of bytes, ASCII letters alone are letters.
+        if word.isalpha():
+            low = word.lower()
+        else:
+            text = word.decode()
             # The dotted capital I is two characters in lower case.
-            if not is_latin_word(word) or "İ" in word:
-                others.append(chunk)
-                continue
-            low, mark = word.lower(), text[len(word) :]
-            ids = self.words.get(low)
-            if ids is None:
-                ids = self.words[low] = self.of_word(low)
-            if mark:
-                if mark not in self.marks:
-                    self.marks[mark] = self.of_texts([mark])[0]
-                ids += self.marks[mark]
-            self.known[chunk] = ids
-        self.known.update(zip(others, self.of_texts([chunk.decode() for chunk in others])))
+            low = text.lower().encode() if is_latin_word(text) and "İ" not in text else None
+        if low is None:
+            ids = self.of_text(chunk.decode())
+        elif len(word) < len(chunk):
+            ids = self.of_word(low) + self[chunk[len(word) :]]
+        else:
+            ids = self.of_word(low)
+        self[chunk] = ids
+        return ids
 
     def of_documents(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
-        chunks = [text.split() if text else [] for text in texts]
-        known = self.known
-        self.learn(set().union(*chunks) - known.keys())
-        for own in chunks:
-            yield b"".join(map(known.__getitem__, own))
-        if len(known) > self.most:
-            known.clear()
-            self.words.clear()
-            self.marks.clear()
+        for text in texts:
+            yield b"".join(map(self.__getitem__, text.split())) if text else b""
+            if len(self) > self.most:
+                self.clear()
+            if len(self.words) > self.most:
+                self.words.clear()
+
+
+@lru_cache(maxsize=1)
+def worker_ids(file: str) -> ChunkIds:
+    """One for all tasks of a worker: what one has met helps the next."""
+    return ChunkIds(file)
 
 
 class Numbering:
@@ -131,7 +141,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CA
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk_ids, number, task = ChunkIds(vocabulary), Numbering(capacity), TaskContext.get().partitionId()
+        chunk_ids, number, task = worker_ids(vocabulary), Numbering(capacity), TaskContext.get().partitionId()
         for batch in whole_batches(batches, BLOCK_BYTES):
             rows, pieces, starts, parts = [], [], [], []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
