@@ -48,7 +48,7 @@ def place(tmp_path):
 
 def ingest(spark, source, target, as_of, tags=None, available=PLENTY, incremental=True):
     scratch = Scratch(spark)
-    inputs = scan_inputs(spark, source, target.payload_table, target.ledger_table, scratch, tags)
+    inputs = scan_inputs(spark, source, target, scratch, tags)
     return run_ingest(spark, inputs, target, as_of, available, incremental, scratch)
 
 
@@ -149,7 +149,7 @@ def test_documents_with_a_payload_table(spark, tmp_path, incremental):
 def test_another_digest(spark, place):
     source, target = place
     scratch = Scratch(spark)
-    inputs = scan_inputs(spark, source, target.payload_table, target.ledger_table, scratch)
+    inputs = scan_inputs(spark, source, target, scratch)
     run_ingest(spark, inputs, target, FIRST, PLENTY, scratch=scratch, digest="sha256")
     hashes = {row["hash"] for row in ledgers.open_ledger(spark, target.ledger_table).collect()}
     assert hashlib.sha256(b"two").hexdigest() in hashes

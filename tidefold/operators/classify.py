@@ -15,6 +15,7 @@ from tidefold.functions.paths import destination
 from tidefold.operators.dating import best_date, effective_date
 from tidefold.operators.filters import allowed, newer_than
 from tidefold.operators.lookups import with_dest_taken, with_known_copy
+from tidefold.operators.recovery import with_due
 from tidefold.operators.skew import HotKeys
 
 # Reasons of the planning estimate.
@@ -32,17 +33,18 @@ RESULT_COLUMNS = (
 NO_PAYLOAD = "no payload"
 
 
-def _planned(inventory: DataFrame, mark: Column, dest_folder: str) -> DataFrame:
+def _planned(inventory: DataFrame, mark: Column, dest_folder: str, due: DataFrame | None = None) -> DataFrame:
     """``path, size, early`` and the destination by mtime month; ``early`` is the
     reason of rows that need no look at the destination."""
     path, mtime = F.col("path"), F.col("mtime")
+    inventory, is_due = _marked_due(inventory, due)
     wall = F.when(wall_clock(mtime) != ZERO_DATE, wall_clock(mtime))
     return inventory.select(
         "path",
         "size",
         destination(dest_folder, month_of(wall), path).alias("dest_path"),
         F.when(~allowed(path), REASON_EXTENSION)
-        .when(~newer_than(mtime, mark), REASON_OLDER)
+        .when(~(newer_than(mtime, mark) | is_due), REASON_OLDER)
         .when(wall.isNull(), REASON_NO_DATE)
         .alias("early"),
     )
@@ -75,7 +77,7 @@ def plan_classification(
 
 
 def plan_totals(
-    inventory: DataFrame, listing: DataFrame, mark: Column, dest_folder: str
+    inventory: DataFrame, listing: DataFrame, mark: Column, dest_folder: str, due: DataFrame | None = None
 ) -> DataFrame:
     """The totals of that estimate alone: one row.
 
@@ -83,7 +85,7 @@ def plan_totals(
     one row per destination however many files share it; rejected rows make up
     one more group.
     """
-    judged = _planned(inventory, mark, dest_folder)
+    judged = _planned(inventory, mark, dest_folder, due)
     open_dest = F.when(F.col("early").isNull(), F.col("dest_path"))
     by_dest = judged.groupBy(open_dest.alias("dest_path")).agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")
@@ -101,16 +103,28 @@ def plan_totals(
     )
 
 
-def early_state(path: Column, mtime: Column, mark: Column) -> Column:
+def _marked_due(inventory: DataFrame, due: DataFrame | None) -> tuple[DataFrame, Column]:
+    """The inventory, and whether a row of it is due whatever its age."""
+    if due is None or due.isEmpty():
+        return inventory, F.lit(False)
+    return with_due(inventory, due), F.col("due")
+
+
+def early_state(path: Column, mtime: Column, mark: Column, due: Column | None = None) -> Column:
     """State by extension and age alone, or null if those let the row pass."""
-    return F.when(~allowed(path), states.SKIPPED_EXTENSION).when(
-        ~newer_than(mtime, mark), states.SKIPPED_INCREMENTAL
-    )
+    passes = newer_than(mtime, mark)
+    if due is not None:
+        passes = passes | due
+    return F.when(~allowed(path), states.SKIPPED_EXTENSION).when(~passes, states.SKIPPED_INCREMENTAL)
 
 
-def split_early(inventory: DataFrame, mark: Column) -> tuple[DataFrame, DataFrame]:
+def split_early(
+    inventory: DataFrame, mark: Column, due: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(rejected, passed)``; the rejected rows carry their state."""
-    judged = inventory.withColumn("state", early_state(F.col("path"), F.col("mtime"), mark))
+    marked, is_due = _marked_due(inventory, due)
+    judged = marked.withColumn("state", early_state(F.col("path"), F.col("mtime"), mark, is_due))
+    judged = judged.select(*inventory.columns, "state")
     return judged.where("state is not null"), judged.where("state is null").drop("state")
 
 
@@ -131,7 +145,7 @@ def with_payload_known(looked_up: DataFrame, payload: DataFrame) -> DataFrame:
 
 
 def with_states(
-    looked_up: DataFrame, ledger: DataFrame, hot_hash: HotKeys | None = None
+    looked_up: DataFrame, ledger: DataFrame, hot_hash: HotKeys | None = None, ledger_stays: bool = False
 ) -> DataFrame:
     """Date, destination, content and ledger tests, in that order.
 
@@ -147,7 +161,7 @@ def with_states(
     )
     # What cannot be copied must not hold a destination or a content against others.
     has_payload = F.col("has_payload") if "has_payload" in looked_up.columns else F.lit(True)
-    matched = with_known_copy(looked_up, ledger, before_hash.isNull() & readable, hot_hash)
+    matched = with_known_copy(looked_up, ledger, before_hash.isNull() & readable, hot_hash, ledger_stays)
     state = F.coalesce(
         before_hash,
         F.when(~readable, states.ERROR_HASH),

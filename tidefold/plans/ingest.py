@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidefold import schemas
 from tidefold.functions import states
-from tidefold.operators import accounting, classify, report
+from tidefold.operators import accounting, classify, recovery, report
 from tidefold.operators.dating import best_date, effective_date
 from tidefold.operators.lookups import with_dest_taken
 from tidefold.operators.placement import final_results
@@ -21,6 +20,17 @@ from tidefold.session import Scratch
 from tidefold.sources import ledger as ledgers
 from tidefold.sources import listing as listings
 from tidefold.sources import sinks
+from tidefold.sources.buckets import open_bucketed
+from tidefold.sources.journal import (
+    DUE_ROW,
+    LANDED_ROW,
+    PLANNED,
+    PLANNED_ROW,
+    RECORDED,
+    WRITTEN,
+    Journal,
+    read_or_empty,
+)
 
 
 @dataclass
@@ -29,7 +39,9 @@ class Inputs:
 
     An inventory without a ``hash`` column is one of files on a shared mount:
     they are hashed where it matters, and their content is what gets written.
-    With hashes, ``payload`` (``path`` and any columns) is written instead.
+    With hashes, ``payload`` (``path`` and any columns) is written instead. Paths in
+    ``due`` (the journal's) are looked at whatever their age. ``ledger_stays`` tells that
+    the ledger is bucketed by hash and is joined where it lies.
     """
 
     inventory: DataFrame
@@ -38,12 +50,16 @@ class Inputs:
     ledger: DataFrame
     scan_errors: DataFrame
     payload: DataFrame | None = None
+    due: DataFrame | None = None
+    ledger_stays: bool = False
 
 
 @dataclass
 class Target:
     """Where a run writes, and how destinations and report paths are named.
 
+    Payload goes to a folder per run below ``payload_table``, which reads as one table.
+    The journal lies beside the ledger unless it is named.
     Below ``report_folder`` each run leaves a folder of its own, named by its time,
     with ``rows``, ``summary``, ``badges``, ``recency``, ``reconciliation``,
     ``errors``, ``by_state`` and ``months``.
@@ -54,6 +70,17 @@ class Target:
     ledger_table: str
     report_folder: str
     source_folder: str = ""
+    journal_folder: str = ""
+
+    def journal(self, spark: SparkSession) -> Journal:
+        return Journal(spark, self.journal_folder or f"{self.ledger_table.rstrip('/')}-journal")
+
+    def payload_of(self, run: str) -> str:
+        return f"{self.payload_table.rstrip('/')}/run={run}"
+
+
+class UnfinishedRun(RuntimeError):
+    """An earlier run died; ``recover_runs`` completes it."""
 
 
 @dataclass
@@ -79,7 +106,7 @@ def classify_run(
     the lookups are split. Files are hashed only after every test that needs no
     content, each file once.
     """
-    rejected, passed = classify.split_early(inputs.inventory, mark)
+    rejected, passed = classify.split_early(inputs.inventory, mark, inputs.due)
     dated = effective_date(best_date(passed, inputs.tags))
     keyed, seen = scratch.save_measured(
         classify.with_destination(dated, dest_folder), "keyed", F.count(F.lit(1)).alias("rows")
@@ -98,7 +125,7 @@ def classify_run(
     )
     if inputs.payload is not None:
         looked_up = classify.with_payload_known(looked_up, inputs.payload)
-    settled = classify.with_states(looked_up, inputs.ledger, hot_hash)
+    settled = classify.with_states(looked_up, inputs.ledger, hot_hash, inputs.ledger_stays)
     # Candidates are some of these rows, so no key of theirs is hotter.
     hot = (hot_dest, hot_hash)
     return final_results(classify.with_rejected(settled, rejected), scratch, hot_rows, hot)
@@ -139,23 +166,55 @@ def estimate_run(
     inputs: Inputs, mark: Column, dest_folder: str, available_bytes: int
 ) -> DataFrame:
     """The space check made before anything is hashed or written."""
-    totals = classify.plan_totals(inputs.inventory, inputs.listing, mark, dest_folder)
+    totals = classify.plan_totals(inputs.inventory, inputs.listing, mark, dest_folder, inputs.due)
     return accounting.capacity_gate(totals, available_bytes)
 
 
+def recover_runs(spark: SparkSession, target: Target, scratch: Scratch | None = None) -> list[str]:
+    """Complete the runs that died, in order; their names.
+
+    What such a run planned is joined with what landed of it: landed rows that the
+    ledger lacks are recorded, the others are due again. Reads the tables of these runs
+    and the ledger's hashes. Dying here as well leaves the run as unfinished as it was.
+    """
+    journal, scratch = target.journal(spark), scratch or Scratch(spark)
+    died = journal.unfinished()
+    for run, state, as_of in died:
+        if state == PLANNED:
+            payload = read_or_empty(spark, target.payload_of(run), None)
+            journal.write("landed", run, recovery.landed_keys(payload))
+            journal.mark(run, WRITTEN, as_of)
+        judged = scratch.save(
+            recovery.judge_planned(
+                journal.read("planned", run, PLANNED_ROW),
+                journal.read("landed", run, LANDED_ROW),
+                ledgers.open_ledger(spark, target.ledger_table),
+            ),
+            f"recovered-{run}",
+        )
+        rows = judged.where(F.col("action") == recovery.RECORD)
+        ledgers.add_rows(rows.withColumn("mtime", F.unix_seconds("mtime")).withColumnRenamed("path", "src_path"), target.ledger_table)
+        due = journal.read("due", run, DUE_ROW).unionByName(recovery.due_from_planned(judged))
+        journal.write("due", run, scratch.save(due.dropDuplicates(["path", "kind"]), f"due-{run}"))
+        journal.mark(run, RECORDED, as_of)
+    return [run for run, _, _ in died]
+
+
 def scan_inputs(
-    spark: SparkSession, source: str, payload_table: str, ledger_table: str, scratch: Scratch,
-    tags: DataFrame | None = None,
+    spark: SparkSession, source: str, target: Target, scratch: Scratch, tags: DataFrame | None = None
 ) -> Inputs:
-    """Inputs of a run over files on a shared mount."""
+    """Inputs of a run over files, once the runs that died are completed."""
+    recover_runs(spark, target, scratch)
     inventory, scan_errors = listings.walk_tree(spark, source, scratch)
-    ledger = ledgers.open_ledger(spark, ledger_table)
+    journal = target.journal(spark)
     return Inputs(
         inventory,
         tags if tags is not None else spark.createDataFrame([], schemas.TAGS),
-        listings.taken_keys(spark, payload_table),
-        ledger,
+        journal.taken(),
+        ledgers.open_ledger(spark, target.ledger_table),
         scan_errors,
+        due=journal.due(),
+        ledger_stays=open_bucketed(spark, target.ledger_table) is not None,
     )
 
 
@@ -169,11 +228,12 @@ def run_ingest(
     scratch: Scratch | None = None,
     digest: str = "md5",
 ) -> Outcome:
-    """One run. The ledger is appended after the payload is committed, so a run
-    that fails in between finds the written destinations taken next time. All
-    runs on one ledger need the same digest."""
+    """One run: planned in the journal, written, recorded. All runs on one ledger need
+    the same digest; inputs are read after ``recover_runs``."""
     begin = time.monotonic()
-    scratch = scratch or Scratch(spark)
+    scratch, journal = scratch or Scratch(spark), target.journal(spark)
+    if died := journal.unfinished():
+        raise UnfinishedRun(f"recover_runs has to complete {', '.join(run for run, _, _ in died)}")
     mark = ledgers.watermark_seconds(inputs.ledger, incremental)
     gate = scratch.save(
         estimate_run(inputs, mark, target.dest_folder, available_bytes), "gate"
@@ -183,20 +243,31 @@ def run_ingest(
 
     classified = classify_run(inputs, mark, target.dest_folder, scratch, digest=digest)
     results = scratch.save(classified, "results")
+    due = inputs.due if inputs.due is not None else spark.createDataFrame([], DUE_ROW)
+
+    run = journal.new_run(as_of)
+    accepted = sinks.accepted(results)
+    journal.write("planned", run, accepted.withColumn("copied_at", F.date_trunc("second", F.lit(as_of))))
+    journal.write("due", run, recovery.due_again(results, inputs.scan_errors, due))
+    journal.mark(run, PLANNED, as_of)
+
+    folder = target.payload_of(run)
     if inputs.payload is None:
-        failed = sinks.write_files_by_month(results, target.payload_table, uuid.uuid4().hex, digest)
-        failed = scratch.save(failed, "failed")
+        failed = scratch.save(sinks.write_files_by_month(results, folder, digest), "failed")
         if not failed.isEmpty():
             results = scratch.save(with_copy_errors(results, failed, digest), "settled")
+            journal.write("due", run, recovery.due_again(results, inputs.scan_errors, due))
     else:
-        payload = sinks.accepted_payload(results, inputs.payload)
-        sinks.write_months(payload, target.payload_table)
+        sinks.write_months(sinks.accepted_payload(results, inputs.payload), folder)
+    journal.write("landed", run, sinks.accepted(results).select("dest_path"))
+    journal.mark(run, WRITTEN, as_of)
 
     # Summary and report describe the run as it was before its own append.
     summary = scratch.save(accounting.accounting_summary(results, inputs.scan_errors), "summary")
     seconds = time.monotonic() - begin
     write_run_report(inputs, target, results, summary, as_of, incremental, seconds)
     ledgers.write_ledger(results, as_of, target.ledger_table)
+    journal.mark(run, RECORDED, as_of)
     return Outcome(gate, results, summary)
 
 

@@ -6,24 +6,21 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidefold import schemas
 from tidefold.functions.paths import walk_key
 from tidefold.functions.states import COPIED
 from tidefold.functions.text import ago_text
+from tidefold.sources.buckets import open_bucketed
+from tidefold.sources.journal import read_or_empty
 
 MINUS_INFINITY = -(2**62)
 
 
 def open_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger table, empty if nothing was ever written."""
-    try:
-        return spark.read.schema(schemas.LEDGER).parquet(path)
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" not in (problem.getCondition() or ""):
-            raise
-        return spark.createDataFrame([], schemas.LEDGER)
+    """The ledger of a folder, bucketed or plain; empty if nothing was ever written."""
+    bucketed = open_bucketed(spark, path)
+    return bucketed.rows() if bucketed else read_or_empty(spark, path, schemas.LEDGER)
 
 
 def ledger_hashes(ledger: DataFrame) -> DataFrame:
@@ -87,7 +84,16 @@ def first_per_hash(rows: DataFrame) -> DataFrame:
 
 def write_ledger(results: DataFrame, copied_at: datetime, path: str) -> None:
     """Record a run's copied rows, which placement has made unique and new by content."""
-    ledger_rows(results, copied_at).select(*schemas.LEDGER.names).write.mode("append").parquet(path)
+    add_rows(ledger_rows(results, copied_at), path)
+
+
+def add_rows(rows: DataFrame, path: str) -> None:
+    """Append rows that are known to be new by content."""
+    bucketed = open_bucketed(rows.sparkSession, path)
+    if bucketed:
+        bucketed.append(rows)
+    else:
+        rows.select(*schemas.LEDGER.names).write.mode("append").parquet(path)
 
 
 def ledger_rows(results: DataFrame, copied_at: datetime) -> DataFrame:
@@ -113,4 +119,4 @@ def new_ledger_rows(rows: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def append_ledger(rows: DataFrame, ledger: DataFrame, path: str) -> None:
-    new_ledger_rows(rows, ledger).write.mode("append").parquet(path)
+    add_rows(new_ledger_rows(rows, ledger), path)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidefold.session import Scratch
+from tidefold.sources import storage
 
 DIGESTS = ("md5", "sha256")
 
@@ -19,7 +20,8 @@ def inventory_scan(spark: SparkSession, root: str, suffixes: str | None = None)
 
     Content is never selected, so it is not read; filters on mtime and size
     reach the listing. The file index lives on the driver and leaves out names
-    that begin with a dot or an underscore; ``walk_tree`` has neither limit.
+    that begin with a dot or an underscore; ``walk_tree``, for any number of files,
+    has neither limit.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -47,76 +49,77 @@ def content_digest(content: Column, digest: str = "md5") -> Column:
     return F.md5(content) if digest == "md5" else F.sha2(content, 256)
 
 
-def walk_tree(spark: SparkSession, root: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """List a mounted folder level by level: ``(inventory, scan_errors)``.
+LISTED = "kind string, path string, mtime_us bigint, size bigint, message string"
+# Rows of a folder leave its task in pieces of so many.
+LISTED_ROWS = 10_000
 
-    Each level is one Spark job over the folders found by the one before, so
-    neither folders nor files pass through the driver. Hidden names are kept,
-    links are not followed, and what cannot be read is recorded while the walk
-    goes on.
-    """
 
-    def list_folders(batches):
-        import os
+def _entries(read):
+    """A function of batches of ``path`` that sends the entries which ``read`` yields per path."""
 
+    def send(batches):
         import pandas as pd
 
-        columns = ["kind", "path", "mtime_us", "size", "message"]
-
-        def entries(folder):
-            try:
-                with os.scandir(folder) as listing:
-                    for entry in listing:
-                        try:
-                            # A name that is not UTF-8 cannot be a text: it is recorded.
-                            shown = os.fsencode(entry.path).decode("utf-8", "backslashreplace")
-                            if shown != entry.path:
-                                yield "error", shown, None, None, "name is not UTF-8"
-                                continue
-                            info = entry.stat(follow_symlinks=False)
-                            kind = "folder" if entry.is_dir(follow_symlinks=False) else "file"
-                            yield kind, entry.path, info.st_mtime_ns // 1000, info.st_size, None
-                        except OSError as problem:
-                            yield "error", entry.path, None, None, problem.strerror
-            except OSError as problem:
-                yield "error", folder, None, None, problem.strerror
+        def frame(rows):
+            columns = ["kind", "path", "mtime_us", "size", "message"]
+            return pd.DataFrame(rows, columns=columns).astype({"mtime_us": "Int64", "size": "Int64"})
 
         for batch in batches:
             rows = []
-            for folder in batch["path"]:
-                for row in entries(folder):
+            for path in batch["path"]:
+                for row in read(path):
                     rows.append(row)
-                    # A huge folder leaves in pieces, never as one batch.
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=columns).astype(
-                            {"mtime_us": "Int64", "size": "Int64"}
-                        )
+                    if len(rows) == LISTED_ROWS:
+                        yield frame(rows)
                         rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=columns).astype(
-                    {"mtime_us": "Int64", "size": "Int64"}
-                )
+                yield frame(rows)
+
+    return send
+
 
-    found = "kind string, path string, mtime_us bigint, size bigint, message string"
+def walk_tree(spark: SparkSession, root: str | DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """List folders level by level: ``(inventory, scan_errors)``.
+
+    ``root`` is a folder, or a table of them (``path``), on mounts or on any file system
+    that ``storage`` opens. Each level is one Spark job over the folders found by the one
+    before, so neither folders nor files pass through the driver, and there is no file
+    index. Of mounted files a folder's own task reads the names alone; their times and
+    sizes are asked for afterwards, in ranges of names, so that one huge flat folder is
+    many tasks' work. Hidden names are kept, links are not followed, and what cannot be
+    read is recorded while the walk goes on.
+    """
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folders = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    if isinstance(root, str):
+        root = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    folders, seen = scratch.save_measured(root.select("path").distinct(), "walk-roots", F.count(F.lit(1)).alias("folders"))
     levels = []
-    waiting = 1
-    while waiting:
+    while seen["folders"]:
         # One listing per folder is slow work; spread it over all tasks.
-        spread = folders.repartition(min(waiting, width))
+        spread = folders.repartition(min(seen["folders"], width))
         level, seen = scratch.save_measured(
-            spread.mapInPandas(list_folders, found),
+            spread.mapInPandas(_entries(storage.list_folder), LISTED),
             f"walk-{len(levels)}",
             F.count_if(F.col("kind") == "folder").alias("folders"),
+            F.count_if((F.col("kind") == "file") & F.col("size").isNull()).alias("unknown"),
         )
-        levels.append(level)
-        waiting = seen["folders"]
+        levels.append((level, seen["unknown"]))
         folders = level.where("kind = 'folder'").select("path")
-    listed = levels[0]
-    for level in levels[1:]:
+    if not levels:
+        return split_walk(spark.createDataFrame([], LISTED))
+    listed = levels[0][0]
+    for level, _ in levels[1:]:
         listed = listed.unionByName(level)
-    return split_walk(listed)
+    unknown = (F.col("kind") == "file") & F.col("size").isNull()
+    if not any(count for _, count in levels):
+        return split_walk(listed)
+    names = listed.where(unknown).select("path").repartitionByRange(width, "path")
+    facts = scratch.save(names.mapInPandas(_entries(_facts), LISTED), "walk-facts")
+    return split_walk(listed.where(~unknown).unionByName(facts))
+
+
+def _facts(path: str):
+    yield storage.file_facts(path)
 
 
 def split_walk(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +158,9 @@ def spread_by_content(
     over = F.sum("_all").over(Window.orderBy(*key).rowsBetween(*earlier))
     starts = sums.select(*key, F.coalesce(over, F.lit(0)).alias("_start"))
     before = F.col("_start") + F.coalesce(F.sum("_weight").over(within), F.lit(0))
-    placed = weighed.join(starts, key).withColumn("_task", F.floor(before * tasks / max(total, 1)).cast("int"))
+    # Whole numbers, divided and never multiplied: sums of bytes reach far beyond petabytes.
+    share = max(1, ceil(total / tasks))
+    placed = weighed.join(starts, key).withColumn("_task", F.call_function("div", before, F.lit(share)).cast("int"))
     return placed.repartitionById(tasks, F.col("_task")).select(*files.columns)
 
 
@@ -179,14 +184,14 @@ def hash_files(files: DataFrame, digest: str = "md5") -> DataFrame:
             for path in batch["path"]:
                 try:
                     state = hashlib.new(digest)
-                    with open(path, "rb") as content:
+                    with storage.open_content(path) as content:
                         while piece := content.read(1 << 20):
                             state.update(piece)
                     hashes.append(state.hexdigest())
                     problems.append(None)
                 except OSError as problem:
                     hashes.append(None)
-                    problems.append(problem.strerror)
+                    problems.append(storage.reason(problem))
             yield batch.assign(hash=hashes, read_error=problems)
 
     files = files.drop("hash", "read_error")

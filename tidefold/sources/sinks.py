@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefold.functions.states import COPIED
+from tidefold.operators.recovery import landed_keys
+from tidefold.sources.journal import read_or_empty
 from tidefold.sources.listing import spread_by_content
+from tidefold.sources.storage import open_content
 
 ACCEPTED = ("path", "dest_path", "month", "hash", "size", "mtime")
 
@@ -40,7 +43,7 @@ def write_months(rows: DataFrame, folder: str) -> None:
 
 
 def with_content(rows: DataFrame, part_bytes: int = PART_BYTES, digest: str = "md5") -> DataFrame:
-    """Add ``part`` and ``content`` by reading each row's file in its task.
+    """Add ``part``, ``parts`` and ``content`` by reading each row's file in its task.
 
     A file of any size becomes as many rows as it has parts (one for an empty
     file), so neither a column limit nor memory bounds it. A file that cannot be
@@ -54,7 +57,7 @@ def with_content(rows: DataFrame, part_bytes: int = PART_BYTES, digest: str = "m
         import hashlib
 
         def pieces(path):
-            with open(path, "rb") as source:
+            with open_content(path) as source:
                 piece = source.read(part_bytes)
                 yield piece
                 while piece := source.read(part_bytes):
@@ -71,49 +74,49 @@ def with_content(rows: DataFrame, part_bytes: int = PART_BYTES, digest: str = "m
             if isinstance(wanted, str) and state.hexdigest() != wanted:
                 return
             if count == 1:
-                yield piece
+                yield count, piece
                 return
             again = hashlib.new(digest)
             for piece in pieces(path):
                 again.update(piece)
-                yield piece
+                yield count, piece
             if again.digest() != state.digest():
                 raise OSError(f"{path} changed while it was copied")
 
         for batch in batches:
-            at, parts, contents, held = [], [], [], 0
+            at, parts, counts, contents, held = [], [], [], [], 0
             hashes = batch["hash"] if "hash" in batch else [None] * len(batch)
             for position, (path, wanted) in enumerate(zip(batch["path"], hashes)):
-                for part, content in enumerate(good_pieces(path, wanted)):
+                for part, (count, content) in enumerate(good_pieces(path, wanted)):
                     at.append(position)
                     parts.append(part)
+                    counts.append(count)
                     contents.append(content)
                     held += len(content)
                     # Small files leave together, a large one in pieces.
                     if held >= part_bytes:
-                        yield batch.iloc[at].assign(part=parts, content=contents)
-                        at, parts, contents, held = [], [], [], 0
+                        yield batch.iloc[at].assign(part=parts, parts=counts, content=contents)
+                        at, parts, counts, contents, held = [], [], [], [], 0
             if at:
-                yield batch.iloc[at].assign(part=parts, content=contents)
+                yield batch.iloc[at].assign(part=parts, parts=counts, content=contents)
 
-    added = [T.StructField("part", T.LongType()), T.StructField("content", T.BinaryType())]
+    added = [T.StructField(name, T.LongType()) for name in ("part", "parts")]
+    added.append(T.StructField("content", T.BinaryType()))
     return rows.mapInPandas(read, T.StructType(rows.schema.fields + added))
 
 
-def write_files_by_month(results: DataFrame, folder: str, run: str, digest: str = "md5") -> DataFrame:
-    """Append the content of the copied files under ``month=YYYY-MM``; return the
-    accepted rows whose file could not be copied as it was hashed.
+def write_files_by_month(results: DataFrame, folder: str, digest: str = "md5") -> DataFrame:
+    """Write the content of the copied files under ``month=YYYY-MM`` of a run's own
+    folder; return the accepted rows whose file could not be copied as it was hashed.
 
     Only the accepted rows are spread over tasks, by month and by the bytes
-    they hold; content is read where it is written and never shuffled.
-    Written rows carry the name of their ``run``, by which they are found again.
+    they hold; content is read where it is written and never shuffled. What landed is
+    read back from the run's folder alone, without its content.
     """
     rows = accepted(results)
-    content = with_content(spread_by_content(rows, ("month",)), digest=digest).withColumn("run", F.lit(run))
-    content.write.mode("append").partitionBy("month").parquet(folder)
-    written = rows.sparkSession.read.schema("dest_path string, part bigint, run string").parquet(folder)
-    landed = written.where((F.col("run") == run) & (F.col("part") == 0))
-    return rows.join(landed.select("dest_path"), "dest_path", "left_anti")
+    with_content(spread_by_content(rows, ("month",)), digest=digest).write.mode("append").partitionBy("month").parquet(folder)
+    written = read_or_empty(rows.sparkSession, folder, "dest_path string, part bigint, parts bigint")
+    return rows.join(landed_keys(written), "dest_path", "left_anti")
 
 
 def write_report(rows: DataFrame, folder: str, form: str = "parquet") -> None:
