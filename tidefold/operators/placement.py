@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidefold.functions import states
 from tidefold.functions.paths import walk_key
+from tidefold.operators.chains import place_chains
 from tidefold.operators.classify import RESULT_COLUMNS
 from tidefold.operators.components import components
 from tidefold.operators.skew import HOT_ROWS, HotKeys, balanced_join, measure_hot_keys
@@ -27,7 +28,7 @@ from tidefold.session import Scratch
 log = logging.getLogger(__name__)
 
 # After this many rounds what is left is chains, which a round shortens by one
-# step only. Each connected component of them is then walked in a task of its own.
+# step only. They are then settled by connected component.
 PATIENCE = 8
 
 
@@ -55,25 +56,38 @@ def _certain(edges: DataFrame) -> DataFrame:
     return _first_per(edges, "dest_path").join(_first_per(edges, "hash"), "place")
 
 
-def _walk_rest(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of a remainder that get copied, by walking each component in order.
+def _settle_rest(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of a remainder that get copied, component by component.
 
     Rows that share no destination and no content, not even by others between
     them, cannot bear on each other. Nodes are hashes of the two: should two
-    meet, components are walked together, with the same outcome. The number of
-    rounds grows with the logarithm of the rows; what remains serial is one
-    component, whatever the number of rows.
+    meet, components are settled together, with the same outcome. The number of
+    rounds grows with the logarithm of the rows. Components that are mere chains
+    are ranked in parallel (``chains``); each other one is walked by a task.
     """
-    nodes = edges.withColumn("node", F.xxhash64(F.lit("d"), "dest_path"))
-    links = nodes.select("node", F.xxhash64(F.lit("h"), "hash").alias("other"))
-    parts = components(links.toDF("src", "dst"), scratch)
-    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = (
-        nodes.join(parts, "node")
-        .drop("node")
-        .repartition(width, "component")
-        .sortWithinPartitions("component", "place")
+    nodes = edges.withColumns({
+        "node": F.xxhash64(F.lit("d"), "dest_path"), "other": F.xxhash64(F.lit("h"), "hash"),
+    })
+    parts = components(nodes.select("node", "other").toDF("src", "dst"), scratch)
+    inside = scratch.save(nodes.join(parts, "node").drop("node", "other"), "rest")
+    knots = scratch.save(
+        _crowded(inside, "dest_path").unionByName(_crowded(inside, "hash")).distinct(), "knots"
     )
+    chains = inside.join(knots, "component", "left_anti").select(*edges.columns)
+    knotted = inside.join(knots, "component", "left_semi")
+    return place_chains(chains, scratch).unionByName(_walk(knotted, edges))
+
+
+def _crowded(inside: DataFrame, key: str) -> DataFrame:
+    """Components in which some destination, or some content, has more than two rows."""
+    sizes = inside.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.first("component").alias("component"))
+    return sizes.where(F.col("rows") > 2).select("component")
+
+
+def _walk(inside: DataFrame, edges: DataFrame) -> DataFrame:
+    """The copied rows, each component walked in order by one task."""
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = inside.repartition(width, "component").sortWithinPartitions("component", "place")
 
     columns, schema = edges.columns, edges.schema
 
@@ -106,7 +120,7 @@ def greedy_placement(
     Per round: two combined aggregations, one join of their results on the row
     number, and two anti joins split on hot keys. Each round is written to the
     shared folder, so a lost executor never replays earlier rounds. Rounds are
-    few unless rows form long chains; what ``patience`` rounds leave is walked by
+    few unless rows form long chains; what ``patience`` rounds leave is settled by
     component. ``hot`` are the hot destinations and contents where measured.
 
     A row without a destination is skipped for want of a date, one without a
@@ -143,7 +157,7 @@ def _placed(
     while left:
         rounds += 1
         last = rounds > patience
-        won = scratch.save(_walk_rest(edges, scratch) if last else _certain(edges), f"won-{rounds}")
+        won = scratch.save(_settle_rest(edges, scratch) if last else _certain(edges), f"won-{rounds}")
         accepted = won if accepted is None else accepted.unionByName(won)
         if last:
             break
