@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.operators.skew import HotKeys, balanced_join
+from tidefold.operators.skew import HotKeys, balanced_join, stay_join
 from tidefold.sources.ledger import known_hashes, ledger_hashes
 
 
@@ -34,11 +34,16 @@ def with_dest_taken(
 
 
 def with_known_copy(
-    rows: DataFrame, ledger: DataFrame, wanted: Column | None = None, hot: HotKeys | None = None
+    rows: DataFrame,
+    ledger: DataFrame,
+    wanted: Column | None = None,
+    hot: HotKeys | None = None,
+    stay: bool = False,
 ) -> DataFrame:
     """Add ``known_path``: where the ledger keeps the same content, or null.
 
-    Rows outside ``wanted`` are not looked up.
+    Rows outside ``wanted`` are not looked up. ``stay``: the ledger is bucketed by hash
+    and is not to be moved.
     """
     key = F.col("hash") if wanted is None else F.when(wanted, F.col("hash"))
     known = known_hashes(ledger).select(
@@ -46,16 +51,20 @@ def with_known_copy(
     )
     keyed = rows.withColumn("_hash", _or_unmatched(key))
     spread = (hot or HotKeys("hash")).on("_hash")
-    return balanced_join(keyed, known, "left", spread, "path").drop("_hash")
+    joined = stay_join(keyed, known, "left", spread) if stay else balanced_join(keyed, known, "left", spread, "path")
+    return joined.drop("_hash")
 
 
 def ledger_duplicates(
-    rows: DataFrame, ledger: DataFrame, hot: HotKeys | None = None
+    rows: DataFrame, ledger: DataFrame, hot: HotKeys | None = None, stay: bool = False
 ) -> DataFrame:
-    """Rows whose content the ledger holds, with the path of that copy."""
+    """Rows whose content the ledger holds, with the path of that copy.
+
+    ``stay``: the ledger is bucketed by hash and is not to be moved.
+    """
     hot = hot or HotKeys("hash")
     known = known_hashes(ledger).withColumnRenamed("dest_path", "existing_path")
-    return balanced_join(rows, known, "inner", hot, "path")
+    return stay_join(rows, known, "inner", hot) if stay else balanced_join(rows, known, "inner", hot, "path")
 
 
 def dest_exists(rows: DataFrame, listing: DataFrame, hot: HotKeys | None = None) -> DataFrame:
@@ -78,8 +87,10 @@ def new_content(
 
 
 def insert_or_ignore(
-    rows: DataFrame, ledger: DataFrame, hot: HotKeys | None = None
+    rows: DataFrame, ledger: DataFrame, hot: HotKeys | None = None, stay: bool = False
 ) -> DataFrame:
-    """Drop rows whose content the ledger already holds."""
+    """Drop rows whose content the ledger already holds (``stay``: without moving it)."""
     hashes = ledger_hashes(ledger)
+    if stay:
+        return stay_join(rows, hashes.distinct(), "left_anti", hot or HotKeys("hash"))
     return balanced_join(rows, hashes, "left_anti", hot or HotKeys("hash"), "path")

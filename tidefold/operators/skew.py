@@ -76,3 +76,19 @@ def balanced_join(
         "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
     )
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def stay_join(left: DataFrame, right: DataFrame, how: str, hot: HotKeys) -> DataFrame:
+    """``left`` joined on ``hot.column`` to a ``right`` that is bucketed by it and stays in place.
+
+    A salt would move ``right``. So the rows of the hot keys are joined apart, to the rows
+    of ``right`` that have these keys: at most as many as there are hot keys, since ``right``
+    has one row per key, hence few enough to be broadcast. For joins that keep or drop left
+    rows one by one (left, inner, semi, anti).
+    """
+    key = hot.column
+    if not hot.values:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(*hot.values), F.lit(False))
+    few = F.broadcast(right.where(F.col(key).isin(*hot.values)))
+    return left.where(~is_hot).join(right, key, how).unionByName(left.where(is_hot).join(few, key, how))

@@ -13,9 +13,11 @@ from pyspark.sql.types import StructType
 from tidefold.functions.dates import EXTRACTORS, wall_clock
 from tidefold.functions.paths import ALLOWED_EXTENSIONS, destination, extension
 from tidefold.operators.classify import static_classification
-from tidefold.plans.ingest import Inputs, classify_run
+from tidefold.plans.ingest import Inputs, Target, classify_run
+from tidefold.schemas import LEDGER
 from tidefold.session import Scratch
-from tidefold.sources.ledger import watermark_seconds
+from tidefold.sources.journal import DUE_ROW, PLANNED
+from tidefold.sources.ledger import add_rows, watermark_seconds
 from tidefold.sources.listing import split_walk
 
 SRC, DEST = "/src", "/dest"
@@ -121,6 +123,69 @@ def dest_listing(ledger: DataFrame) -> DataFrame:
     return ledger.select("dest_path").distinct()
 
 
+def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path`` of folders that cannot be listed."""
+    refused = base(spark, sf_dir).where("doc_id % 97 = 0")
+    return refused.select(F.concat(F.lit(f"{SRC}/unreadable/"), "doc_id").alias("path"))
+
+
+def due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that failed in an earlier run, and folders that it could not list."""
+    rows = base(spark, sf_dir)
+    files = rows.where("doc_id % 50 = 7").select("path", F.lit("file").alias("kind"))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    folders = rows.where("doc_id % 240 = 17 and doc_id % 7 < 3").select(folder.alias("path"), F.lit("folder").alias("kind"))
+    return files.unionByName(folders).withColumn("reason", F.lit("permission denied"))
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of documents, less some, each at a path of its own."""
+    path = F.concat(F.lit("/s/"), F.regexp_extract("path", "^/src/([^/]*)/", 1), F.lit("/"), "doc_id", F.lit(".jpg"))
+    return base(spark, sf_dir).where("doc_id % 19 <> 6").select(path.alias("path"), "size", "mtime", "hash")
+
+
+def earlier_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier one: some documents not yet there, some elsewhere, some with other content."""
+    doc = F.col("doc_id")
+    folder = F.when(doc % 13 == 4, "/old/").otherwise("/s/")
+    path = F.concat(folder, F.regexp_extract("path", "^/src/([^/]*)/", 1), F.lit("/"), "doc_id", F.lit(".jpg"))
+    other = doc % 17 == 5
+    return base(spark, sf_dir).where("doc_id % 11 <> 3").select(
+        path.alias("path"),
+        F.when(other, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        "mtime",
+        F.when(other, F.md5("hash")).otherwise(F.col("hash")).alias("hash"),
+    )
+
+
+def plant_died_run(spark: SparkSession, sf_dir: str, target: Target) -> None:
+    """A run that planned a ledger's rows and died.
+
+    By size mod 6: nothing of 0 landed, part 0 of two of 3, all of the rest. The ledger
+    had got those of a size divisible by 4.
+    """
+    one = F.min_by(F.struct(*LEDGER.names), "hash").alias("row")
+    rows = full_ledger(spark, sf_dir).groupBy("dest_path").agg(one).select("row.*")
+    journal = target.journal(spark)
+    run = journal.new_run(AS_OF)
+    month = F.element_at(F.split("dest_path", "/"), -2).alias("month")
+    planned = rows.select(
+        F.col("src_path").alias("path"), "dest_path", month, "hash", "size",
+        F.timestamp_seconds("mtime").alias("mtime"), F.lit(AS_OF).alias("copied_at"),
+    )
+    journal.write("planned", run, planned)
+    journal.write("due", run, spark.createDataFrame([], DUE_ROW))
+    journal.mark(run, PLANNED, AS_OF)
+    kind = F.col("size") % 6
+    parts = F.when(kind.isin(2, 3), 2).otherwise(1)
+    landed = planned.where(kind != 0).select(
+        "*", parts.cast("bigint").alias("parts"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(kind == 2, 1).otherwise(0).cast("bigint"))).alias("part"),
+    )
+    landed.write.partitionBy("month").parquet(target.payload_of(run))
+    add_rows(rows.where("size % 4 = 0"), target.ledger_table)
+
+
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a walk meets: a file per document, or a folder it may not enter."""
     refused = F.col("doc_id") % 97 == 0

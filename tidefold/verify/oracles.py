@@ -331,11 +331,71 @@ messages AS (
 
 _GIB = "1073741824.0::DOUBLE"
 
+_SNAPSHOTS = """
+        sb AS (
+          SELECT CASE WHEN doc_id % 13 = 4 THEN '/old/' ELSE '/s/' END || source || '/' || doc_id || '.jpg' AS path,
+            CASE WHEN doc_id % 17 = 5 THEN size + 1 ELSE size END AS size, mtime,
+            CASE WHEN doc_id % 17 = 5 THEN md5(hash) ELSE hash END AS hash
+          FROM base JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE doc_id % 11 <> 3),
+        sa AS (
+          SELECT '/s/' || source || '/' || doc_id || '.jpg' AS path, size, mtime, hash
+          FROM base JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE doc_id % 19 <> 6),
+        news AS (FROM sa WHERE path NOT IN (SELECT path FROM sb)),
+        olds AS (FROM sb WHERE path NOT IN (SELECT path FROM sa))"""
+
+
+def _tree_hash(part: int, fan: int, levels: int) -> str:
+    """Levels of a hash tree over texts, as many as are ever needed here."""
+    steps = [f"""
+        l0 AS (SELECT doc_id, k AS part, sha256('l'::BLOB || encode(text)[k * {part} + 1 : (k + 1) * {part}]) AS digest
+               FROM documents, range(0, greatest(1, ceil(strlen(text) / {part}.0))::BIGINT) AS parts(k))"""]
+    for i in range(1, levels + 1):
+        steps.append(f"""
+        l{i} AS (SELECT doc_id, part // {fan} AS part,
+                   CASE WHEN max(n) = 1 THEN min(digest) ELSE sha256('n' || string_agg(digest, '' ORDER BY part)) END AS digest
+                 FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM l{i - 1}) GROUP BY doc_id, part // {fan})""")
+    return f", {','.join(steps)} SELECT doc_id, digest AS hash FROM l{levels}"
+
+
 _SELECTS = {
     "inventory_scan": """
         SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY source""",
     "walk_order": "SELECT path, hex(replace(path, '/', chr(0))) AS walk_key FROM base",
-    "scan_errors": "SELECT path, message FROM scan_errors",
+    "scan_errors": "SELECT path, 'No such file or directory' AS message FROM scan_errors",
+    "content_tree_hash": _tree_hash(100, 8, 6),
+    "snapshot_difference": f"""
+        , {_SNAPSHOTS.strip()}
+        SELECT path, CASE WHEN sa.size = sb.size AND sa.mtime = sb.mtime AND sa.hash = sb.hash THEN 'same' ELSE 'changed' END AS change,
+          NULL AS other_path FROM sa JOIN sb USING (path)
+        UNION ALL
+        SELECT path, CASE WHEN o.hash IS NULL THEN 'added' ELSE 'moved' END, other
+        FROM news LEFT JOIN (SELECT hash, min(path) AS other FROM olds GROUP BY hash) o USING (hash)
+        UNION ALL
+        SELECT path, CASE WHEN o.hash IS NULL THEN 'gone' ELSE 'left' END, other
+        FROM olds LEFT JOIN (SELECT hash, min(path) AS other FROM news GROUP BY hash) o USING (hash)""",
+    "carried_hashes": f"""
+        , {_SNAPSHOTS.strip()},
+        once AS (SELECT regexp_extract(path, '[^/]+$') AS name, size, mtime, min(hash) AS hash FROM olds GROUP BY ALL HAVING count(*) = 1)
+        SELECT sa.path, coalesce(sb.hash, once.hash) AS hash FROM sa
+        LEFT JOIN sb ON sb.path = sa.path AND sb.size = sa.size AND sb.mtime = sa.mtime
+        LEFT JOIN once ON sa.path NOT IN (SELECT path FROM sb) AND once.name = regexp_extract(sa.path, '[^/]+$')
+          AND once.size = sa.size AND once.mtime = sa.mtime""",
+    "run_recovery": """
+        SELECT CASE WHEN size % 4 = 0 OR size % 6 NOT IN (0, 3) THEN 'ledger' ELSE 'due' END AS kind,
+          src_path AS path, CASE WHEN size % 4 = 0 OR size % 6 NOT IN (0, 3) THEN hash END AS hash
+        FROM (FROM full_ledger QUALIFY row_number() OVER (PARTITION BY dest_path ORDER BY hash) = 1)""",
+    "incremental_retry": f"""
+        SELECT path, size FROM base
+        WHERE {_ext('path')} IN {_ALLOWED} AND (
+          floor(epoch(mtime)) > (SELECT max(epoch(copied_at)) FROM ledger)
+          OR path IN (SELECT path FROM base WHERE doc_id % 50 = 7)
+          OR regexp_replace(path, '/[^/]*$', '') IN (
+            SELECT regexp_replace(path, '/[^/]*$', '') FROM base WHERE doc_id % 240 = 17 AND doc_id % 7 < 3))""",
+    "bucketed_duplicates": """
+        SELECT b.path, b.hash, l.dest_path AS existing_path
+        FROM base b JOIN known l ON l.hash = b.hash""",
+    "filtered_duplicates": """
+        SELECT hash, dest_path AS existing_path FROM known WHERE hash IN (SELECT hash FROM base)""",
     "ledger_load": """
         SELECT hash, min(dest_path) AS dest_path FROM full_worn WHERE hash IS NOT NULL GROUP BY hash""",
     "dest_listing": "SELECT DISTINCT dest_path FROM full_ledger",

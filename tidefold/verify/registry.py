@@ -16,12 +16,13 @@ from tidefold.operators import (
     lookups,
     placement,
     report,
+    snapshots,
 )
 from tidefold.operators.skew import measure_hot_keys
-from tidefold.plans.ingest import estimate_run
+from tidefold.plans.ingest import Target, estimate_run, recover_runs
 from tidefold.session import Scratch
 from tidefold.sources import ledger as ledgers
-from tidefold.sources import listing, sinks
+from tidefold.sources import buckets, listing, sinks, treehash
 from tidefold.sources.tags import flatten_tags
 from tidefold.verify import fixtures as fx
 
@@ -49,15 +50,23 @@ def dated_inventory(spark, sf_dir):
 # Sources and sinks
 
 
+def _written_texts(spark, sf_dir, scratch):
+    """The folder of the documents written as text files by source."""
+    folder = f"{scratch.path}/texts"
+    fx.table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(folder)
+    return folder
+
+
 @query
 def inventory_scan(spark, sf_dir):
-    """The documents written as text files by source, listed, and summed by folder."""
-    folder = f"{Scratch(spark).path}/texts"
-    fx.table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(folder)
-    source = F.regexp_extract("path", "/source=([^/]*)/", 1)
+    """The documents written as text files by source, listed by tasks, and summed by folder."""
+    scratch = Scratch(spark)
+    found, _ = listing.walk_tree(spark, _written_texts(spark, sf_dir, scratch), scratch)
+    source = F.regexp_extract("path", r"/source=([^/]*)/part-[^/]*\.txt$", 1)
     return (
-        listing.inventory_scan(spark, folder)
-        .groupBy(source.alias("source"))
+        found.select(source.alias("source"), "size")
+        .where("source <> ''")
+        .groupBy("source")
         .agg(F.sum("size").cast("bigint").alias("bytes"))
     )
 
@@ -71,7 +80,13 @@ def walk_order(spark, sf_dir):
 
 @query
 def scan_errors(spark, sf_dir):
-    return fx.scan_errors(spark, sf_dir)
+    """A walk over the written documents and, for some of them, a folder that is not there."""
+    scratch = Scratch(spark)
+    written = _written_texts(spark, sf_dir, scratch)
+    missing = fx.unreadable(spark, sf_dir).select(F.concat(F.lit(written), "path").alias("path"))
+    roots = spark.createDataFrame([(written,)], "path string").unionByName(missing)
+    _, errors = listing.walk_tree(spark, roots, scratch)
+    return errors.select(F.replace("path", F.lit(written), F.lit("")).alias("path"), "message")
 
 
 @query
@@ -97,6 +112,24 @@ def content_hash(spark, sf_dir):
     )
 
 
+@query
+def content_tree_hash(spark, sf_dir):
+    """Texts cut into parts of 100 bytes, combined eight by eight."""
+    return treehash.tree_hash(fx.table(spark, sf_dir, "documents"), "doc_id", "text", 100, 8)
+
+
+@query
+def snapshot_difference(spark, sf_dir):
+    return snapshots.difference(fx.earlier_snapshot(spark, sf_dir), fx.snapshot(spark, sf_dir))
+
+
+@query
+def carried_hashes(spark, sf_dir):
+    """What of a listing without hashes need not be hashed again."""
+    listed = fx.snapshot(spark, sf_dir).drop("hash")
+    return snapshots.with_carried_hash(listed, fx.earlier_snapshot(spark, sf_dir)).select("path", "hash")
+
+
 @query
 def month_partition_sink(spark, sf_dir):
     run = fx.run(spark, sf_dir)
@@ -130,6 +163,53 @@ def ledger_append(spark, sf_dir):
     )
 
 
+@query
+def run_recovery(spark, sf_dir):
+    """A run that died among its files, completed: the ledger then, and what is due again."""
+    scratch = Scratch(spark)
+    target = Target(fx.DEST, f"{scratch.path}/payload", f"{scratch.path}/ledger", f"{scratch.path}/report")
+    fx.plant_died_run(spark, sf_dir, target)
+    recover_runs(spark, target, scratch)
+    recorded = ledgers.open_ledger(spark, target.ledger_table).select(
+        F.lit("ledger").alias("kind"), F.col("src_path").alias("path"), "hash"
+    )
+    due = target.journal(spark).due().select(F.lit("due").alias("kind"), "path", F.lit(None).cast("string").alias("hash"))
+    return recorded.unionByName(due)
+
+
+@query
+def incremental_retry(spark, sf_dir):
+    """Rows newer than the last copy, or due again by path or by a folder above."""
+    rows, known = fx.inventory(spark, sf_dir), fx.ledger(spark, sf_dir)
+    passed = classify.split_early(rows, ledgers.watermark_seconds(known), fx.due(spark, sf_dir))[1]
+    return passed.select("path", "size")
+
+
+def _bucketed(spark, sf_dir):
+    """The worn ledger in buckets, appended in two steps."""
+    ledger = buckets.create_bucketed(spark, f"{Scratch(spark).path}/ledger", 16, 1_000)
+    worn = fx.worn(fx.ledger(spark, sf_dir))
+    for half in (0, 1):
+        ledger.append(worn.where(F.col("size") % 2 == half))
+    return ledger
+
+
+@query
+def bucketed_duplicates(spark, sf_dir):
+    """``ledger_duplicates`` against a bucketed ledger, which is joined where it lies."""
+    rows = fx.inventory(spark, sf_dir)
+    known = _bucketed(spark, sf_dir).rows()
+    found = lookups.ledger_duplicates(rows, known, measure_hot_keys(rows, "hash"), stay=True)
+    return found.select("path", "hash", "existing_path")
+
+
+@query
+def filtered_duplicates(spark, sf_dir):
+    """The contents of the inventory that a bucketed ledger has, new ones told by its filter."""
+    found = _bucketed(spark, sf_dir).known_among(fx.inventory(spark, sf_dir))
+    return found.withColumnRenamed("dest_path", "existing_path")
+
+
 @query
 def report_sink(spark, sf_dir):
     folder = f"{Scratch(spark).path}/report"
