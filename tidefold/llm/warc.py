@@ -1,13 +1,22 @@
 """A deterministic sharded WARC writer, and its reader.
 
 Records are dealt by ranges of page_id and sorted within; each range writes its
-own files, which roll once ``roll_bytes`` of compressed records are in one. Each
-record is a gzip member of its own. Headers, record ids and digests are made
-anew from the rows, so that every run and every retried task writes the same
-bytes. Files are written under temporary names that no other attempt has; the
-names that finished tasks report are the manifest, written as a table, and a
-second job over it moves each file to its final name, which it may do again. A
-lost executor leaves unnamed files behind, which go with the temporary folder.
+own files, which roll once ``roll_bytes`` of compressed records are in one. Ranges
+are as many as ``SHARD_BYTES`` of payload ask for, so a task's work does not grow
+with the table; rows without an id, or of one id that is heavier than that, are cut
+by their digests as well. Each record is a gzip member of its own. Headers, record
+ids and digests are made anew from the rows, so that every run and every retried
+task writes the same bytes.
+
+Files are written under temporary names that no other attempt and no other writer
+has. The names that finished tasks report are the manifest; a second job over it
+moves each file to its final name. A move that finds the name taken compares what
+lies there by size and SHA-256: the same content is the work of an earlier attempt
+or run, and other content is never kept in silence, but replaced (``replace=True``)
+or an error. Once all files are in place the manifest is written beside them, in
+shards below ``.manifest`` and then a file ``MANIFEST`` there that names them; archives
+are read by a manifest, and every file is checked against it. Replacing writers
+take the names of an earlier manifest that they do not use out of the folder.
 
 Of equal payloads the one of smallest page_id is stored, the others refer to it.
 Which page a payload refers to is worked out on digests alone and reaches the
@@ -21,7 +30,10 @@ Defined results: null html is an empty payload; a null url leaves its header out
 (control characters in one are percent-encoded); rows without page_id sort last
 and are never referred to, so that equal payloads that have no id at all are all
 stored; of rows that repeat a page_id and payload the first is stored; an empty
-table writes no file and gives no rows; other columns are not looked at.
+table writes no archive and gives no rows; other columns are not looked at. A folder
+whose write did not end has no ``MANIFEST`` (or still that of before, whose files
+may then fail their check); writing again completes it. Of two writers with
+different rows the one that meets the other's file fails.
 """
 
 from __future__ import annotations
@@ -29,21 +41,26 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import json
 import posixpath
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import scratch_of, whole_batches
 from tidefold.llm.ranges import shard_bounds, shard_of
 
 ROLL_BYTES = 64 << 20
+# Payload of one range, which is one task's work.
+SHARD_BYTES = 256 << 20
 MIN_REVISIT_BYTES = 0
 # Equal runs write equal bytes, so the date is that of the data and not of the run.
 DATE = "2000-01-01T00:00:00Z"
@@ -52,6 +69,9 @@ READ_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "name string, temporary string, bytes long, records long, sha256 string"
+FILES = "name string, bytes long, records long, sha256 string"
+# The file that commits a folder, and the shards of the manifest it names.
+COMMIT, SHARD = ".manifest/MANIFEST", ".manifest/part-{:05d}.jsonl"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
@@ -109,8 +129,9 @@ def _info(name: str) -> bytes:
 class _Roll:
     """The files of one range: rolled by compressed size, under temporary names."""
 
-    def __init__(self, folder: str, shard: int, roll_bytes: int):
+    def __init__(self, folder: str, temporary: str, shard: int, roll_bytes: int):
         self.system, self.folder = fs.FileSystem.from_uri(folder)
+        self.below = temporary
         self.shard, self.roll_bytes, self.turn = shard, roll_bytes, 0
         self.stream, self.done = None, []
 
@@ -119,7 +140,7 @@ class _Roll:
             self.close()
         if self.stream is None:
             self.name = f"{PREFIX}-{self.shard:06d}-{self.turn:05d}.warc.gz"
-            self.temporary = f"_temporary/{self.name}.{uuid.uuid4().hex}"
+            self.temporary = f"{self.below}/{self.name}.{uuid.uuid4().hex}"
             self.stream = self.system.open_output_stream(posixpath.join(self.folder, self.temporary), compression=None)
             self.turn, self.size, self.records, self.hash = self.turn + 1, 0, 0, hashlib.sha256()
             self._put(_info(self.name))
@@ -138,7 +159,7 @@ class _Roll:
             self.done.append((self.name, self.temporary, self.size, self.records, self.hash.hexdigest()))
 
 
-def _writer(folder: str, roll_bytes: int, min_revisit_bytes: int):
+def _writer(folder: str, temporary: str, roll_bytes: int, min_revisit_bytes: int):
     names = ["name", "temporary", "bytes", "records", "sha256"]
     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
@@ -156,7 +177,7 @@ def _writer(folder: str, roll_bytes: int, min_revisit_bytes: int):
                     if roll:
                         roll.close()
                         done += roll.done
-                    roll = _Roll(folder, shard, roll_bytes)
+                    roll = _Roll(folder, temporary, shard, roll_bytes)
                 turn = turn + 1 if key == (page_id, digest) else 0
                 key = (page_id, digest)
                 payload = (html or "").encode("utf-8")
@@ -173,39 +194,156 @@ def _writer(folder: str, roll_bytes: int, min_revisit_bytes: int):
     return write
 
 
-def _mover(folder: str):
+def _sha256_of(system, path: str) -> str:
+    state = hashlib.sha256()
+    with system.open_input_stream(path, compression=None) as stream:
+        while piece := stream.read(READ_BYTES):
+            state.update(piece)
+    return state.hexdigest()
+
+
+def _place(system, temporary: str, final: str, size: int, sha256: str, replace: bool) -> None:
+    """Move a file to its name; what lies there stays only if it is the same."""
+    there = system.get_file_info(final)
+    if there.type != fs.FileType.NotFound:
+        if there.size == size and _sha256_of(system, final) == sha256:
+            return
+        if not replace:
+            raise FileExistsError(f"{final} holds other content; replace it, or write to another folder")
+        system.delete_file(final)
+    system.move(temporary, final)
+
+
+def _mover(folder: str, replace: bool):
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, temporary in zip(batch.column("name").to_pylist(), batch.column("temporary").to_pylist()):
-                final = posixpath.join(root, name)
-                # A retried move finds the file at its place.
-                if system.get_file_info(final).type == fs.FileType.NotFound:
-                    system.move(posixpath.join(root, temporary), final)
+            for name, temporary, size, _, sha256 in zip(*(column.to_pylist() for column in batch.columns)):
+                _place(system, posixpath.join(root, temporary), posixpath.join(root, name), size, sha256, replace)
             yield batch
 
     return move
 
 
+def _manifest_writer(folder: str, temporary: str):
+    """Writes each shard of the manifest under its name; yields name and checksum."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        lines: dict[int, list[str]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = row.pop("_part")
+                lines.setdefault(shard, []).append(json.dumps(row, sort_keys=True))
+        for shard, own in lines.items():
+            data = "".join(f"{line}\n" for line in sorted(own)).encode()
+            name, draft = SHARD.format(shard), posixpath.join(root, temporary, uuid.uuid4().hex)
+            with system.open_output_stream(draft, compression=None) as stream:
+                stream.write(data)
+            sha256 = hashlib.sha256(data).hexdigest()
+            _place(system, draft, posixpath.join(root, name), len(data), sha256, True)
+            yield pa.RecordBatch.from_pydict({"name": [name], "sha256": [sha256]})
+
+    return write
+
+
+def _remover(folder: str):
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                if system.get_file_info(posixpath.join(root, name)).type != fs.FileType.NotFound:
+                    system.delete_file(posixpath.join(root, name))
+            yield batch
+
+    return remove
+
+
+def _commit(files: DataFrame, folder: str, temporary: str, scratch) -> None:
+    """Write the manifest beside the files, and the file that names its shards last."""
+    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("*", F.pmod(F.xxhash64("name"), F.lit(width)).cast("int").alias("_part")).repartition(width, "_part")
+    parts = scratch.save(dealt.mapInArrow(_manifest_writer(folder, temporary), "name string, sha256 string"), "manifest-parts")
+    # A row per shard.
+    listed = sorted(map(tuple, parts.collect()))
+    system, root = fs.FileSystem.from_uri(folder)
+    draft = posixpath.join(root, temporary, posixpath.basename(COMMIT))
+    with system.open_output_stream(draft, compression=None) as stream:
+        stream.write(json.dumps({"shards": listed}).encode())
+    final = posixpath.join(root, COMMIT)
+    if system.get_file_info(final).type != fs.FileType.NotFound:
+        system.delete_file(final)
+    system.move(draft, final)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """``name, bytes, records, sha256`` of a folder's archives; None where no write was committed."""
+    system, root = fs.FileSystem.from_uri(folder)
+    final = posixpath.join(root, COMMIT)
+    if system.get_file_info(final).type == fs.FileType.NotFound:
+        return None
+    with system.open_input_stream(final, compression=None) as stream:
+        shards = json.loads(stream.read())["shards"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, sha256 in zip(*(column.to_pylist() for column in batch.columns)):
+                with system.open_input_stream(posixpath.join(root, name), compression=None) as stream:
+                    data = stream.read()
+                if hashlib.sha256(data).hexdigest() != sha256:
+                    raise ValueError(f"{name} is not the manifest that {COMMIT} names")
+                yield pa.RecordBatch.from_pylist([json.loads(line) for line in data.splitlines()]).select(
+                    [field.split()[0] for field in FILES.split(", ")]
+                )
+
+    named = spark.createDataFrame([tuple(shard) for shard in shards], "name string, sha256 string")
+    return named.mapInArrow(read, FILES)
+
+
+def _places(rows: DataFrame, width: int) -> tuple[Column, int]:
+    """The range of each row (``page_id, _digest, _bytes``) and how many there are.
+
+    Ids that are heavier than a range, of which there are fewer than ranges, are cut by digest;
+    rows without an id are one more such id, behind all others.
+    """
+    weights = rows.groupBy("page_id").agg(F.sum("_bytes").alias("_bytes"))
+    heavy = {row["page_id"]: row["_bytes"] for row in weights.where(F.col("_bytes") > SHARD_BYTES).collect()}
+    total = rows.agg(F.sum("_bytes")).first()[0] or 0
+    bounds = shard_bounds(rows, "page_id", max(width, ceil(total / SHARD_BYTES)))
+    none = len(bounds) + 1
+    place, last = F.when(F.col("page_id").isNull(), none).otherwise(shard_of("page_id", bounds)), none + 1
+    for page_id, size in sorted(heavy.items(), key=lambda item: (item[0] is None, item[0])):
+        parts = ceil(size / SHARD_BYTES)
+        own = F.pmod(F.xxhash64("_digest"), F.lit(parts)).cast("int") + last
+        place = F.when(F.col("page_id").eqNullSafe(F.lit(page_id).cast("long")), own).otherwise(place)
+        last += parts
+    return place, last
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
     roll_bytes: int = ROLL_BYTES,
     min_revisit_bytes: int = MIN_REVISIT_BYTES,
     scratch=None,
+    replace: bool = False,
 ) -> DataFrame:
     """Write ``pages`` below ``folder`` and return the manifest, one row per file."""
     spark = pages.sparkSession
     scratch = scratch or scratch_of(pages)
     system, root = fs.FileSystem.from_uri(folder)
-    system.create_dir(posixpath.join(root, "_temporary"), recursive=True)
+    temporary = f".temporary/{uuid.uuid4().hex}"
+    for name in (temporary, posixpath.dirname(COMMIT)):
+        system.create_dir(posixpath.join(root, name), recursive=True)
+    # Read now: its shards are written over below.
+    before = read_manifest(spark, folder) if replace else None
+    before = before and scratch.save(before, "before")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = shard_bounds(pages, "page_id", 3 * width)
-    # Rows without an id are last: a range of their own, behind the others.
-    place = F.when(F.col("page_id").isNull(), len(bounds) + 1).otherwise(shard_of("page_id", bounds))
-    digest = F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8"))
-    rows = pages.select("page_id", "url", "html", digest.alias("_digest"))
-    ids = scratch.save(rows.select("page_id", "_digest"), "digests")
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "utf-8")).alias("_digest"))
+    ids = scratch.save(rows.select("page_id", "_digest", F.octet_length(html).cast("long").alias("_bytes")), "digests")
+    place, shards = _places(ids, width)
     shared = (
         ids.groupBy("_digest")
         .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
@@ -221,13 +359,18 @@ def write_archives(
         rows.select("page_id", "url", "html", "_digest", none.cast("long").alias("_first"), F.lit(True).alias("_page"))
         .unionByName(notes)
         .withColumn("_shard", place)
-        .repartition(width, "_shard")
+        .repartitionById(shards, F.col("_shard"))
         .sortWithinPartitions("_shard", F.col("page_id").asc_nulls_last(), "_digest", "_page", "url")
     )
-    written = scratch.save(dealt.mapInArrow(_writer(folder, roll_bytes, min_revisit_bytes), MANIFEST), "written")
-    moved = scratch.save(written.repartition(width, "name").mapInArrow(_mover(folder), MANIFEST), "moved")
-    system.delete_dir(posixpath.join(root, "_temporary"))
-    return moved.drop("temporary")
+    written = scratch.save(dealt.mapInArrow(_writer(folder, temporary, roll_bytes, min_revisit_bytes), MANIFEST), "written")
+    moved = scratch.save(written.repartition(width, "name").mapInArrow(_mover(folder, replace), MANIFEST), "moved")
+    files = moved.drop("temporary")
+    _commit(files, folder, temporary, scratch)
+    if before is not None:
+        stale = before.join(files.select("name"), "name", "left_anti").select("name")
+        scratch.save(stale.repartition(width).mapInArrow(_remover(folder), "name string"), "removed")
+    system.delete_dir(posixpath.join(root, temporary))
+    return files
 
 
 def parse_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -267,23 +410,43 @@ def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column("name").to_pylist():
+            for name, size, sha256 in zip(*(column.to_pylist() for column in batch.columns)):
                 rows = []
                 with system.open_input_stream(posixpath.join(root, name), compression=None, buffer_size=READ_BYTES) as raw:
-                    with gzip.GzipFile(fileobj=raw) as stream:
+                    checked = _Checked(raw)
+                    with gzip.GzipFile(fileobj=checked) as stream:
                         for headers, block in parse_archive(stream):
                             if headers["WARC-Type"] != "warcinfo":
                                 rows.append(row(headers, block))
                             if len(rows) == 10_000:
                                 yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows), types)), names)
                                 rows = []
+                    if (checked.size, checked.state.hexdigest()) != (size, sha256):
+                        raise ValueError(f"{name} is not the file that the manifest names")
                 if rows:
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows), types)), names)
 
     return read
 
 
+class _Checked(io.RawIOBase):
+    """A stream that keeps size and SHA-256 of what was read of it."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.state = stream, 0, hashlib.sha256()
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, most: int = -1) -> bytes:
+        piece = self.stream.read(most) if most >= 0 else self.stream.read()
+        self.size += len(piece)
+        self.state.update(piece)
+        return piece
+
+
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the files that ``manifest`` names, digests checked."""
+    """The records of the files that ``manifest`` names; files and records are checked."""
     width = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("name").repartition(width, "name").mapInArrow(_reader(folder), RECORDS)
+    files = manifest.select("name", "bytes", "sha256")
+    return files.repartition(width, "name").mapInArrow(_reader(folder), RECORDS)
