@@ -1,6 +1,7 @@
 import hashlib
 
 from tidefold.llm.fingerprints import BITS, SimHash, fingerprint_edits, likeness, within_radius
+from tidefold.llm.registry import op5_fingerprints
 
 
 def expected(rows):
@@ -43,3 +44,12 @@ def test_radius_equals_all_pairs(spark, documents):
             if distance <= 3:
                 want[a, b] = (texts.count(b), distance)
     assert got == want
+
+
+def test_the_query_has_a_row_per_row_where_ids_repeat(spark, tmp_path):
+    rows = [(100, "a text of some words"), (100, "another text of other words"), (100, "another text of other words"), (7, "x"), (200, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    near = {(r["doc_id"], r["fingerprint"]): r["rows_near"] for r in got}
+    assert sorted((i, n) for (i, _), n in near.items() if n is not None) == [(100, 1), (100, 2), (200, 1)]

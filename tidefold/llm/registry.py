@@ -47,8 +47,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = scratch_of(docs).save(fingerprint_edits(docs), "prints")
     asked = prints.where(F.col("doc_id") % 100 == 0)
     near = within_radius(prints, asked).groupBy(F.col("query").alias("fingerprint")).agg(F.sum("rows").alias("rows_near"))
-    near = asked.select("doc_id", "fingerprint").distinct().join(near, "fingerprint").drop("fingerprint")
-    return prints.join(near, "doc_id", "left")
+    # An id may come with several texts; each has its own fingerprint.
+    near = asked.select("doc_id", "fingerprint").distinct().join(near, "fingerprint")
+    return prints.join(near, ["doc_id", "fingerprint"], "left").select(*prints.columns, "rows_near")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
