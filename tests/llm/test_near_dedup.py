@@ -110,3 +110,38 @@ def test_members_outside_the_largest_part_are_compared(spark):
     got = nd.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == {0: 0, 1: 1, 2: 1}
     assert all(len(s) for s in split(*shingle_codes(pa.array(texts))))
+
+
+def test_classes_and_rows_where_ids_repeat(spark):
+    random.seed(5)
+    text = lambda: " ".join(random.choices([f"w{i}" for i in range(400)], k=120))
+    a, other, third = text(), text(), text()
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(3, a), (5, near), (5, other), (5, third), (5, third), (7, other + " more"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id + 1 AS own_digest", "'x' AS own_times")
+    got = nd.near_classes(df).collect()
+    assert len(got) == len(rows)
+    labels = {}
+    for r in got:
+        labels.setdefault((r["class_id"], r["class_digest"]), []).append(r["doc_id"])
+    assert sorted(sorted(map(str, ids)) for ids in labels.values()) == [["3", "5", "None"], ["5", "5"], ["5", "7"]]
+    kept = nd.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(3, a), (5, other), (5, third), (None, a)], key=repr
+    )
+
+
+def test_verification_is_the_same_in_buckets_of_two(spark):
+    """Texts whose repeated shingles weigh much: the plain Jaccard alone decides."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(40):
+        words = [f"{i}x{j}" for j in range(60)]
+        often = words[:6] * 60
+        texts += [" ".join(words + often), " ".join([*words[:-1], "end", *(w for w in words[:6] for _ in range(rng.randrange(1, 3)))])]
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = named(list(range(len(texts))), classes(texts))
+    linked = sum(want[i] != i for i in want)
+    assert all(got[i] in (i, want[i]) for i in want)
+    assert sum(got[i] != i for i in got) >= 0.9 * linked

@@ -10,9 +10,8 @@ probability Jaccard of two texts (the plain one where weights are equal).
 Equal texts are one node. Registers are banded; a bucket is the nodes that share
 a band. First each node of a bucket is compared with one node only, that which
 meets the most others in all its buckets: a text that many are copies of is nearer
-to them than they are to each other. These pairs pass an estimate from the sketches
-and then the exact Jaccard of their shingle sets, at ``SIMILARITY``. What is then
-linked needs no further comparison: in buckets whose nodes still lie in several
+to them than they are to each other. These pairs are held to the exact Jaccard of their
+shingle sets, at ``SIMILARITY``, as all others are. What is then linked needs no further comparison: in buckets whose nodes still lie in several
 components, those outside the largest are compared with the nodes of other
 components, exactly and in blocks of ``CHUNK`` nodes, by the matrix product of
 their sets; only links leave the task. A pair that shares a bucket is so either
@@ -24,9 +23,10 @@ At similarity 0.8 a pair shares no band with probability 0.00003 (26 bands of 5)
 
 Defined results: null text equals empty text; texts without words are near equal
 ones alone; a text under five words is one shingle; a class is named by the least
-doc_id of its rows (null ids do not count; null where all are null); repeated
+doc_id of its rows and the digest of that row's text (null ids do not count; null and
+its own digest where all are null), so classes stay apart where ids repeat; repeated
 rows come out each; an empty table gives no rows; other columns are not looked
-at. Ids may repeat: nodes are texts.
+at. Very long texts are one row's work each, in memory that follows the longest.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,14 +48,12 @@ from tidefold.operators.components import components
 SIMILARITY = 0.8
 BANDS, BAND_SIZE = 26, 5
 REGISTERS = BANDS * BAND_SIZE
-# Four standard deviations below a share of 0.8 over 130 registers, and some more
-# for shingles whose weights differ.
-LEAST_ESTIMATE = 0.6
 BLOCK_BYTES = 2 << 20
 # Nodes of a bucket that are compared with as many others in one task, and shingles
 # that are columns of the matrix product at a time.
 CHUNK, COLUMNS = 1024, 4096
 _TURN = 0x9E3779B97F4A7C15
+DIGEST_BYTES = 16
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -89,39 +87,28 @@ def band_keys(winner: np.ndarray) -> np.ndarray:
     return keys
 
 
-SKETCH = "doc_id long, digest binary, keys array<long>, registers binary"
+SKETCH = "doc_id long, digest binary, keys array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
     for batch in whole_batches(batches, BLOCK_BYTES):
         ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text"), []
         for doc_id, text, shingles in zip(ids, texts.to_pylist(), split(*shingle_codes(texts))):
             digest = _digest(text)
             if len(shingles):
                 winner = prob_minhash(*weighted(shingles))
-                rows.append((doc_id, digest, band_keys(winner).view(np.int64), winner.astype(np.uint16).tobytes()))
+                rows.append((doc_id, digest, band_keys(winner).view(np.int64)))
             else:
-                rows.append((doc_id, digest, None, None))
-        yield pa.RecordBatch.from_arrays(
-            list(map(pa.array, zip(*rows), types)), ["doc_id", "digest", "keys", "registers"]
-        )
-
-
-@F.pandas_udf(T.DoubleType())
-def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of equal registers."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).mean(axis=1))
+                rows.append((doc_id, digest, None))
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows), types)), ["doc_id", "digest", "keys"])
 
 
 @F.pandas_udf(T.DoubleType())
 def exact_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     found = []
     for x, y in zip(a, b):
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(x, y, assume_unique=True))
         found.append(both / (len(x) + len(y) - both))
     return pd.Series(found, dtype=float)
@@ -132,7 +119,7 @@ def _sets_of(asked: HashFilter):
         for batch in whole_batches(batches, BLOCK_BYTES):
             batch = batch.filter(pa.array(asked(batch.column("_key").to_numpy().view(np.uint64))))
             texts = batch.column("text")
-            own = [np.unique(s.astype(np.uint32)).tobytes() for s in split(*shingle_codes(texts))]
+            own = [np.unique(s).tobytes() for s in split(*shingle_codes(texts))]
             digests = [_digest(text) for text in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(own, pa.binary())],
@@ -149,7 +136,7 @@ def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 
 def _digest(text: str | None) -> bytes:
-    return hashlib.sha256((text or "").encode("utf-8")).digest()[:16]
+    return hashlib.sha256((text or "").encode("utf-8")).digest()[:DIGEST_BYTES]
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -165,15 +152,9 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> Data
     return found.join(asked, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, scratch, name: str) -> DataFrame:
     """Of ``a, b`` candidates those at ``SIMILARITY``, as ``src, dst``."""
-    likely = (
-        _both(pairs, nodes, "registers")
-        .where(estimate("registers_a", "registers_b") >= LEAST_ESTIMATE)
-        .select("a", "b")
-    )
-    likely = scratch.save(likely, f"likely-{name}")
-    linked = _both(likely, sets, "shingles").where(exact_jaccard("shingles_a", "shingles_b") >= SIMILARITY)
+    linked = _both(pairs, sets, "shingles").where(exact_jaccard("shingles_a", "shingles_b") >= SIMILARITY)
     return scratch.save(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"linked-{name}")
 
 
@@ -199,7 +180,7 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 
 def _block_links(outside: list[tuple], inside: list[tuple]) -> set[tuple[int, int]]:
     """One link of each node of ``outside`` to each other part of ``inside`` that it is similar to."""
-    left, right = ([np.frombuffer(r[2], np.uint32) for r in rows] for rows in (outside, inside))
+    left, right = ([np.frombuffer(r[2], np.uint64) for r in rows] for rows in (outside, inside))
     both = _intersections(left, right)
     total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
     linked = both >= SIMILARITY * (total - both) - 1e-3
@@ -253,9 +234,13 @@ def _rest_linked(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
-    """``doc_id, class_id, copies, class_texts`` per row: its class, the rows of
-    the same text, and how many different texts the class has."""
-    scratch = scratch or scratch_of(docs)
+    """``doc_id, class_id, class_digest, copies, class_texts`` per row: its class, the
+    rows of the same text, and how many different texts the class has."""
+    return _classes(docs, scratch or scratch_of(docs)).drop("digest")
+
+
+def _classes(docs: DataFrame, scratch) -> DataFrame:
+    """The same, with the ``digest`` of each row's text."""
     docs = docs.select("doc_id", "text")
     sketches = scratch.save(docs.mapInArrow(_sketch, SKETCH), "sketches")
     nodes = scratch.save(
@@ -264,7 +249,6 @@ def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
             F.min("doc_id").alias("first_id"),
             F.count(F.lit(1)).alias("copies"),
             F.first("keys").alias("keys"),
-            F.first("registers").alias("registers"),
         )
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
@@ -284,7 +268,7 @@ def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
         "stars",
     )
     sets = scratch.save(_shingle_sets(docs, nodes, members), "sets")
-    first = _verified(stars, nodes, sets, scratch, "stars")
+    first = _verified(stars, sets, scratch, "stars")
     labels = components(first, scratch, "first")
     placed = members.where(F.col("size") > 2).join(labels, "node", "left").select(
         "band", "key", "node", F.coalesce("component", "node").alias("part")
@@ -307,20 +291,37 @@ def near_classes(docs: DataFrame, scratch=None) -> DataFrame:
     named = nodes.select("node", "digest", "first_id", "copies").join(classes, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    names = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("class_texts"))
-    of_text = named.join(names, "component").select("digest", "class_id", "copies", "class_texts")
-    return sketches.select("doc_id", "digest").join(of_text, "digest").drop("digest")
+    least = F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "digest")))
+    names = named.groupBy("component").agg(
+        least.alias("least"), F.min("digest").alias("any"), F.count(F.lit(1)).alias("class_texts")
+    ).select(
+        "component",
+        F.col("least.first_id").alias("class_id"),
+        F.lower(F.hex(F.coalesce("least.digest", "any"))).alias("class_digest"),
+        "class_texts",
+    )
+    of_text = named.join(names, "component").select("digest", "class_id", "class_digest", "copies", "class_texts")
+    classed = sketches.select("doc_id", "digest").join(of_text, "digest")
+    return classed.select("doc_id", "digest", "class_id", "class_digest", "copies", "class_texts")
 
 
 def one_of_each(docs: DataFrame, scratch=None) -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: of each class the row of least id
-    (of rows that repeat it, one); rows without an id stay."""
+    """Rows of ``docs`` without near-duplicates: of each class the row of least id and
+    its text (of rows that repeat both, one, the same in every run); rows without an id stay."""
     scratch = scratch or scratch_of(docs)
-    classes = near_classes(docs, scratch)
-    keep = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    # Rows of one id and different texts are different documents.
-    turn = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    name = free_name(docs, "turn")
-    named = docs.join(keep, "doc_id", "left_semi").withColumn(name, F.row_number().over(turn))
+    own, times = free_name(docs, "own_digest"), free_name(docs, "own_times")
+    leads = (F.col("doc_id") == F.col("class_id")) & (F.lower(F.hex("digest")) == F.col("class_digest"))
+    keep = (
+        _classes(docs.where(F.col("doc_id").isNotNull()), scratch)
+        .where(leads)
+        .groupBy("doc_id", F.col("digest").alias(own))
+        .agg(F.count(F.lit(1)).alias(times))
+    )
+    digest = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, DIGEST_BYTES)
+    kept = docs.where(F.col("doc_id").isNotNull()).withColumn(own, digest).join(keep, ["doc_id", own])
+    once = kept.where(F.col(times) == 1).select(*docs.columns)
+    # Combined before the shuffle, however often a row is repeated.
+    row = F.struct(*docs.columns)
+    repeated = kept.where(F.col(times) > 1).groupBy("doc_id", own).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
     unnamed = docs.where(F.col("doc_id").isNull())
-    return named.where(F.col(name) == 1).drop(name).unionByName(unnamed)
+    return once.unionByName(repeated.select("_row.*")).unionByName(unnamed)
