@@ -8,6 +8,8 @@ import pytest
 
 from tidefold.llm import pii
 
+from .pii_held_out import lines
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -117,3 +119,47 @@ def test_very_long_runs(model):
 def test_masking(model):
     text = "to a.b@c.de and +1 (632) 555-4827, é 4111 1111 1111 1111"
     assert pii.masked(text, pii.base_spans(text)) == "to <EMAIL> and <PHONE>, é <CARD>"
+
+
+def test_spans_without_number_take_linear_time():
+    import time
+
+    text = " ".join(f"+49 30 55{i:07}" for i in range(60_000))
+    began = time.process_time()
+    (found,) = pii.all_spans([text], pii.train())
+    assert sum(kind == "phone" for kind, _, _ in found[1]) == 60_000 and time.process_time() - began < 60
+
+
+def measured(model, kinds):
+    """Precision and recall of added spans over the held-out lines, whole spans alone."""
+    held = lines()
+    texts = [text for text, _ in held]
+    base = [pii.base_spans(text) for text in texts]
+    added = pii.added_spans(texts, base, model)
+    right = wanted = found = 0
+    for (text, spans), known, more in zip(held, base, added):
+        asked = {s for s in spans if s[0] in kinds and s not in known}
+        given = {s for s in more if s[0] in kinds}
+        right, wanted, found = right + len(asked & given), wanted + len(asked), found + len(given)
+    return right / max(found, 1), right / max(wanted, 1), wanted
+
+
+def test_held_out_lines(model):
+    seen = {pii.labelled(line)[0] for line in pii.EXAMPLES}
+    assert len(lines()) >= 75 and not seen & {text for text, _ in lines()}
+    precision, recall, wanted = measured(model, pii.KINDS)
+    print("held out:", wanted, precision, recall)
+    assert wanted > 35 and precision >= 0.8 and recall >= 0.7
+
+
+def test_written_out_kinds_planted_in_documents(documents, model):
+    texts = [r["text"] for r in documents.collect() if r["text"] and 50 < len(r["text"]) < 2_000][:40]
+    planted = "reach me: mail tom [at] host [dot] net or my cell is 555 0134 today"
+    whole = [f"{text[: len(text) // 2]} {planted} {text[len(text) // 2 :]}" for text in texts]
+    base = [pii.base_spans(text) for text in whole]
+    hits = 0
+    for text, more in zip(whole, pii.added_spans(whole, base, model)):
+        shown = {text[a:b] for _, a, b in more}
+        hits += ("tom [at] host [dot] net" in shown) + ("555 0134" in shown)
+    # 62 of 80 when this was written.
+    assert hits >= 1.4 * len(whole)

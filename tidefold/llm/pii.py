@@ -10,19 +10,24 @@ not touch a base span.
 No kind can do without a digit or a word for the at sign, so sequences are the
 stretches of text around those, ``REACH`` tokens each side; all of a text's
 stretches are read. Long stretches are cut at ``LONGEST`` tokens, with
-``REACH`` tokens of the neighbours on both sides as context.
+``REACH`` tokens of the neighbours on both sides as context, so a span is at most
+that much longer than what is cut, and one that begins before a cut is followed
+across it for ``REACH`` tokens. Added e-mails are under 320 characters, the longest
+an address can be.
 
 Everything happens inside a row, so there is no shuffle and no hot key.
 
 Defined results: a null or empty text has no spans; repeated rows and null ids
 come out each; an empty table gives no rows; offsets are in code points, the end
-exclusive; a run of digits or letters of any length is read in linear time.
+exclusive; a run of digits or letters of any length is read in linear time, as is
+any number of spans; other columns are not looked at, and masking keeps them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -54,7 +59,7 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|[\d_]")
 _TELLING = re.compile(r"[0-9@]|\b(?:at|AT|dot|DOT)\b")
 _DIGITS = re.compile(r"[^0-9]+")
 _WRITTEN_OUT = re.compile(
-    r"[\w.%+-]+(?:@[\w-]+(?:\.[\w-]+)*"
+    r"[\w.%+-]+(?:[\x20]?(?:[(\[]dot[)\]]|\bdot\b)[\x20]?[\w.%+-]+)*(?:@[\w-]+(?:\.[\w-]+)*"
     r"|[\x20]?(?:[(\[]at[)\]]|\bat\b)[\x20]?[\w-]+(?:(?:\.|[\x20]?(?:[(\[]dot[)\]]|\bdot\b)[\x20]?)[\w-]+)+)",
     re.IGNORECASE,
 )
@@ -107,7 +112,8 @@ def spans_text(spans: list[Span]) -> str:
 # Words that tell what a number beside them is.
 WORDS = {
     "at": "at", "dot": "dot", "tel": "call", "phone": "call", "telephone": "call", "call": "call", "fax": "call",
-    "mobile": "call", "ring": "call", "number": "call", "card": "card", "visa": "card", "isbn": "book",
+    "mobile": "call", "ring": "call", "number": "call", "cell": "call", "handy": "call", "dial": "call", "desk": "call",
+    "mail": "mail", "email": "mail", "address": "mail", "contact": "mail", "write": "mail", "card": "card", "visa": "card", "isbn": "book",
     "version": "version", "token": "secret", "password": "secret", "key": "secret", "commit": "secret", "sha": "secret",
 }
 
@@ -248,7 +254,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def labelled(line: str) -> tuple[str, list[Span]]:
     """A line of the table without its marks, and the spans they gave."""
     text, spans = "", []
-    for i, part in enumerate(re.split(r"\[((?:email|ip|card|phone):(?:\[at\]|[^\]])*)\]", line)):
+    for i, part in enumerate(re.split(r"\[((?:email|ip|card|phone):(?:\[(?:at|dot)\]|[^\]])*)\]", line)):
         if i % 2:
             kind, _, part = part.partition(":")
             spans.append((kind, len(text), len(text) + len(part)))
@@ -326,6 +332,24 @@ def plausible(kind: str, text: str) -> bool:
     return 7 <= len(digits) <= 15
 
 
+class _Taken:
+    """The places that spans cover, as disjoint ranges in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        last = bisect_left(self.starts, b) - 1
+        return last < 0 or self.ends[last] <= a
+
+
 def added_spans(texts: list[str], base: list[list[Span]], model: Crf) -> list[list[Span]]:
     """What the model finds beside the base spans of each text."""
     rows, of = [], []
@@ -334,6 +358,7 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Crf) -> list[li
             rows.append(_features(text, places))
             of.append((i, places, first, end))
     found: list[list[Span]] = [[] for _ in texts]
+    taken = [_Taken(spans) for spans in base]
     for (i, places, first, end), labels in zip(of, model.decode(rows)):
         at = first
         while at < end:
@@ -345,7 +370,9 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Crf) -> list[li
             while at < len(places) and LABELS[labels[at]] == f"I-{kind}":
                 at += 1
             a, b = places[start][0], places[at - 1][1]
-            if plausible(kind, texts[i][a:b]) and all(b <= x or y <= a for _, x, y in base[i] + found[i]):
+            # Stretches, and spans in them, come in order: only the last one added can reach this one.
+            after_last = not found[i] or found[i][-1][2] <= a
+            if after_last and taken[i].free(a, b) and plausible(kind, texts[i][a:b]):
                 found[i].append((kind, a, b))
     return found
 

@@ -73,4 +73,53 @@ she was at home, and he at sea. So
 we met at noon and it was fine
 see you at home at 5
 @ 5 each and @home we saw @user1
+write [email:tom [at] host [dot] net] please
+[email:ann [at] some [dot] org] is new
+mail to [email:kim (at) place (dot) com] today
+reach us: [email:desk (at) firma (dot) de]
+my mail is [email:jane dot doe at mail dot org] thanks
+send it to [email:peter dot pan at never dot land] by noon
+address [email:lee dot chang at post dot example dot com] only
+it is [email:bob at sample dot org] for now
+escribe a [email:jose at correo dot es] hoy
+ask [email:nina.k at work dot example] first
+mail [email:r2d2 [at] robots [dot] example] now
+my cell is [phone:555 0134] at night
+cell [phone:555 0199] or desk
+her number: [phone:555 0171] until six
+call me at [phone:0171 555 0142] later
+call [phone:0171 5550142] at home
+mein Handy ist [phone:0151 555 01 42] ab neun
+Handy: [phone:0160 5550199] bitte
+appelez le [phone:06 55 01 42 77] le soir
+llame al [phone:915 55 01 42] mañana
+tel: [phone:(0171) 555 0142] ok
+phone [phone:632 555 4827] works
+desk [phone:632-555-4827] ext 12
+or text [phone:(415) 555-0132] now
+dial [phone:1 800 555 0199] free of charge
+WhatsApp [phone:+34 655 01 42 77] siempre
+the host [ip:10.1.2.3] and port 8080
+from [ip:192.168.0.17] to [ip:192.168.0.18] it went
+charged to [card:5500 0000 0000 0004] last week
+Karte [card:6011-1111-1111-1117] ist weg
+room 555 was let for 0134 days
+page 555 and line 0142 of the file
+in 1955 0142 units were sold
+we sold 555 of 1042 in May
+the code 0171 is that of a town
+at a dot on the map we met
+look at the dot at the top
+he sat at home, dot by dot
+at last the dot came
+meet at ten dot sharp
+item 12 34 56 78 of the list
+rows 100 200 300 and 400
+the score was 21 15 and 21 18
+call it 3 or 4 at most
+a card of 12 by 18 inches
+the phone has 64 GB and 2 cameras
+version 10.1.2 and 10.1.3 are old
+serial 5500 0001 of 2020
+number 7 of the 12 on the card
 """.strip().splitlines()
