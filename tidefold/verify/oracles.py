@@ -380,6 +380,12 @@ _SELECTS = {
         LEFT JOIN sb ON sb.path = sa.path AND sb.size = sa.size AND sb.mtime = sa.mtime
         LEFT JOIN once ON sa.path NOT IN (SELECT path FROM sb) AND once.name = regexp_extract(sa.path, '[^/]+$')
           AND once.size = sa.size AND once.mtime = sa.mtime""",
+    "distinct_estimate": """
+        , v AS (SELECT ('0x' || substr(md5(hash), 1, 15))::BIGINT AS value, min(size) AS size FROM base GROUP BY ALL),
+        k AS (FROM v ORDER BY value LIMIT 128),
+        t AS (SELECT count(*) AS n, max(value)::DOUBLE / 1152921504606846976::DOUBLE AS theta, sum(size) AS total, arg_max(size, value) AS last FROM k)
+        SELECT floor(CASE WHEN n < 128 THEN n ELSE (n - 1) / theta END)::BIGINT AS contents,
+          floor(CASE WHEN n < 128 THEN total ELSE (total - last) / theta END)::BIGINT AS bytes FROM t""",
     "run_recovery": """
         SELECT CASE WHEN size % 4 = 0 OR size % 6 NOT IN (0, 3) THEN 'ledger' ELSE 'due' END AS kind,
           src_path AS path, CASE WHEN size % 4 = 0 OR size % 6 NOT IN (0, 3) THEN hash END AS hash
@@ -468,6 +474,9 @@ _SELECTS = {
     "report_filter": """
         SELECT path, status, destination, size, size_text, details FROM report
         WHERE status = 'skipped' AND contains(lower(path), 'img_0000')""",
+    "report_search": """
+        SELECT path, status, destination, size, size_text, details FROM report
+        WHERE status = 'skipped' AND contains(lower(path), 'img_0000')""",
     "exif_date": "SELECT path, date_wall, confidence, source FROM exif_dates",
     "video_date": "SELECT path, date_wall, confidence, source FROM video_dates",
     "mtime_date": "SELECT path, date_wall, confidence, source FROM mtime_dates",

@@ -16,13 +16,14 @@ from tidefold.operators import (
     lookups,
     placement,
     report,
+    sketches,
     snapshots,
 )
 from tidefold.operators.skew import measure_hot_keys
 from tidefold.plans.ingest import Target, estimate_run, recover_runs
 from tidefold.session import Scratch
 from tidefold.sources import ledger as ledgers
-from tidefold.sources import buckets, listing, sinks, treehash
+from tidefold.sources import buckets, listing, pathindex, sinks, treehash
 from tidefold.sources.tags import flatten_tags
 from tidefold.verify import fixtures as fx
 
@@ -378,6 +379,14 @@ def report_filter(spark, sf_dir):
     return filters.report_filter(report_rows(spark, sf_dir), "skipped", "Img_0000")
 
 
+@query
+def report_search(spark, sf_dir):
+    """``report_filter`` by the index of a written report."""
+    folder = f"{Scratch(spark).path}/report"
+    pathindex.write_indexed(report_rows(spark, sf_dir), folder, 16)
+    return pathindex.search(spark, folder, "skipped", "Img_0000")
+
+
 # Dates
 
 
@@ -488,6 +497,14 @@ def plan_estimate(spark, sf_dir):
     return accounting.plan_estimate(_planned(spark, sf_dir))
 
 
+@query
+def distinct_estimate(spark, sf_dir):
+    """Contents and bytes that a run's rows come to, from two sketches merged."""
+    rows = fx.inventory(spark, sf_dir)
+    halves = [sketches.sketch(rows.where(F.col("size") % 2 == half), 128) for half in (0, 1)]
+    return sketches.totals(sketches.merge(*halves, 128), 128).select("contents", "bytes")
+
+
 @query
 def capacity_gate(spark, sf_dir):
     run = fx.run(spark, sf_dir)
