@@ -1,11 +1,18 @@
 """Listings of two runs: what changed, what only lies elsewhere, what need not be hashed."""
 
+import hashlib
+import os
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from helpers import values
+from test_ingest import FIRST, LATER, by_path, ingest, place, write  # noqa: F401
 
+from tidefold import schemas
+from tidefold.functions import states
 from tidefold.operators import snapshots
 from tidefold.operators.skew import HotKeys
+from tidefold.sources import listing as listings
 
 T1, T2 = (datetime(2024, 1, day, tzinfo=timezone.utc) for day in (1, 2))
 
@@ -64,3 +71,24 @@ def test_a_hot_content_is_not_paired(spark):
     assert sorted(values(got.groupBy("change", "other_path").count(), "change", "other_path", "count")) == [
         ("left", "/new/0", 3_000), ("moved", "/old/0", 3_000),
     ]
+
+
+def test_moved_files_are_not_hashed_again(spark, place, monkeypatch):  # noqa: F811
+    source, target = place
+    target = replace(target, keep_snapshots=True)
+    ingest(spark, source, target, FIRST)
+    os.makedirs(f"{source}/z")
+    os.rename(f"{source}/a/two.mp4", f"{source}/z/two.mp4")
+    # Its month tells another destination, so only its content is known.
+    write(source, "z/new.jpg", b"new", "2023-09-15T00:00:00")
+    asked, real = [], listings.hash_files
+    monkeypatch.setattr(listings, "hash_files", lambda files, *a: (asked.extend(values(files, "path")), real(files, *a))[1])
+    tags = spark.createDataFrame(
+        [(f"{source}/z/two.mp4", "format", "date", -1, "2021-05-05 00:00:00")], schemas.TAGS
+    )
+    got = by_path(ingest(spark, source, target, LATER, tags, incremental=False), source)
+    assert got["z/two.mp4"][0] == states.DUPLICATE and got["z/new.jpg"][0] == states.COPIED
+    assert [path for (path,) in asked] == [f"{source}/z/new.jpg"]
+    left = dict(values(target.journal(spark).last("snapshot", snapshots.SNAPSHOT), "path", "hash"))
+    assert left[f"{source}/z/two.mp4"] == hashlib.md5(b"two").hexdigest()
+    assert left[f"{source}/a/one.jpg"] == hashlib.md5(b"one").hexdigest()

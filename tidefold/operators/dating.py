@@ -10,7 +10,6 @@ from tidefold.functions.dates import (
     EXIF_RULES,
     HIGH,
     LOW,
-    MEDIUM,
     MTIME_SOURCE,
     NONE,
     VIDEO_RULES,
@@ -19,6 +18,7 @@ from tidefold.functions.dates import (
     confidence_label,
     eligible_extractors,
     parse_wall,
+    tag_confidence,
     wall_clock,
 )
 from tidefold.functions.paths import extension
@@ -95,8 +95,8 @@ def best_tag_date(tags: DataFrame, rules: tuple[TagRule, ...] = DATE_RULES) -> D
         found = None
         for weak in {one.weak for one in rules if one.weak}:
             members = [i for i in at if rules[i].weak == weak]
-            test = rule.isin(*members) & ext.isin(*weak)
-            found = F.when(test, HIGH - MEDIUM) if found is None else found.when(test, HIGH - MEDIUM)
+            test, below = rule.isin(*members), F.lit(HIGH) - tag_confidence(ext, weak)
+            found = F.when(test, below) if found is None else found.when(test, below)
         return F.lit(0) if found is None else found.otherwise(0)
 
     rows = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidefold import schemas
 from tidefold.functions import states
-from tidefold.operators import accounting, classify, recovery, report
+from tidefold.operators import accounting, classify, recovery, report, snapshots
 from tidefold.operators.dating import best_date, effective_date
 from tidefold.operators.lookups import with_dest_taken
 from tidefold.operators.placement import final_results
@@ -41,7 +41,9 @@ class Inputs:
     they are hashed where it matters, and their content is what gets written.
     With hashes, ``payload`` (``path`` and any columns) is written instead. Paths in
     ``due`` (the journal's) are looked at whatever their age. ``ledger_stays`` tells that
-    the ledger is bucketed by hash and is joined where it lies.
+    the ledger is bucketed by hash and is joined where it lies. With a ``snapshot`` of the
+    last listing, files it tells to be the same, at their path or moved, are not hashed
+    again: same name, size and time are taken for the same content.
     """
 
     inventory: DataFrame
@@ -52,6 +54,7 @@ class Inputs:
     payload: DataFrame | None = None
     due: DataFrame | None = None
     ledger_stays: bool = False
+    snapshot: DataFrame | None = None
 
 
 @dataclass
@@ -59,7 +62,8 @@ class Target:
     """Where a run writes, and how destinations and report paths are named.
 
     Payload goes to a folder per run below ``payload_table``, which reads as one table.
-    The journal lies beside the ledger unless it is named.
+    The journal lies beside the ledger unless it is named; with ``keep_snapshots`` each run
+    leaves its listing there for the next.
     Below ``report_folder`` each run leaves a folder of its own, named by its time,
     with ``rows``, ``summary``, ``badges``, ``recency``, ``reconciliation``,
     ``errors``, ``by_state`` and ``months``.
@@ -71,6 +75,7 @@ class Target:
     report_folder: str
     source_folder: str = ""
     journal_folder: str = ""
+    keep_snapshots: bool = False
 
     def journal(self, spark: SparkSession) -> Journal:
         return Journal(spark, self.journal_folder or f"{self.ledger_table.rstrip('/')}-journal")
@@ -118,7 +123,14 @@ def classify_run(
         still_open = F.col("dest_path").isNotNull() & ~F.col("dest_taken")
         nothing = F.lit(None).cast("string")
         closed = looked_up.where(~still_open).withColumns({"hash": nothing, "read_error": nothing})
-        hashed = listings.hash_files(looked_up.where(still_open), digest)
+        opened = looked_up.where(still_open)
+        if inputs.snapshot is not None:
+            known = snapshots.with_carried_hash(inputs.inventory.select("path", "size", "mtime"), inputs.snapshot)
+            known = scratch.save(known.where(F.col("hash").isNotNull()).select("path", "hash"), "carried")
+            carried = opened.join(known, "path").withColumn("read_error", nothing)
+            closed = closed.unionByName(carried)
+            opened = opened.join(known, "path", "left_anti")
+        hashed = listings.hash_files(opened, digest)
         looked_up = scratch.save(hashed.unionByName(closed), "hashed")
     hot_hash = measure_hot_keys(
         looked_up if "hash" not in keyed.columns else keyed, "hash", seen["rows"], hot_rows
@@ -215,6 +227,7 @@ def scan_inputs(
         scan_errors,
         due=journal.due(),
         ledger_stays=open_bucketed(spark, target.ledger_table) is not None,
+        snapshot=journal.last("snapshot", snapshots.SNAPSHOT) if target.keep_snapshots else None,
     )
 
 
@@ -249,6 +262,8 @@ def run_ingest(
     accepted = sinks.accepted(results)
     journal.write("planned", run, accepted.withColumn("copied_at", F.date_trunc("second", F.lit(as_of))))
     journal.write("due", run, recovery.due_again(results, inputs.scan_errors, due))
+    if target.keep_snapshots:
+        journal.write("snapshot", run, listed_now(results, inputs.snapshot))
     journal.mark(run, PLANNED, as_of)
 
     folder = target.payload_of(run)
@@ -271,6 +286,17 @@ def run_ingest(
     return Outcome(gate, results, summary)
 
 
+def listed_now(results: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The listing a run leaves: hashes it made or was given, else those that still hold."""
+    listed = results.select("path", "size", "mtime", "hash")
+    if before is None:
+        return listed
+    old = before.select("path", F.struct("size", "mtime").alias("_facts"), F.col("hash").alias("_hash"))
+    holds = F.col("_facts").eqNullSafe(F.struct("size", "mtime"))
+    joined = listed.join(old, "path", "left")
+    return joined.select("path", "size", "mtime", F.coalesce("hash", F.when(holds, F.col("_hash"))).alias("hash"))
+
+
 def write_run_report(
     inputs: Inputs,
     target: Target,

@@ -8,7 +8,7 @@ anywhere leaves enough behind for the next to complete it, and nothing is ever r
 but the tables of the runs in question.
 
 Below the journal's folder: ``states`` (run, state, as_of), and a table per run of
-``planned``, ``landed`` and ``due``.
+``planned``, ``landed``, ``due`` and, where asked for, ``snapshot``.
 """
 
 from __future__ import annotations
@@ -84,13 +84,16 @@ class Journal:
         open_runs = self.states().where(F.col("state") != RECORDED).orderBy("as_of", "run")
         return [(row["run"], row["state"], row["as_of"]) for row in open_runs.collect()]
 
-    def due(self) -> DataFrame:
-        """Paths due again after the last recorded run, whatever their age."""
+    def last(self, kind: str, schema: str) -> DataFrame | None:
+        """The table of one kind that the last recorded run has left, None if none has."""
         recorded = self.states().where(F.col("state") == RECORDED)
         last = recorded.agg(F.max(F.struct("as_of", "run")).alias("last")).first()["last"]
-        if last is None:
-            return self.spark.createDataFrame([], DUE_ROW)
-        return self.read("due", last["run"], DUE_ROW)
+        return last and self.read(kind, last["run"], schema)
+
+    def due(self) -> DataFrame:
+        """Paths due again after the last recorded run, whatever their age."""
+        left = self.last("due", DUE_ROW)
+        return self.spark.createDataFrame([], DUE_ROW) if left is None else left
 
     def taken(self) -> DataFrame:
         """Destinations of all that ever landed; content is no part of these tables."""
