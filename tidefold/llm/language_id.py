@@ -18,7 +18,9 @@ into pieces of that length. A letter that no piece covers has probability
 Defined results: a null text, or one without a letter, is ``und`` with score 0,
 and so is every text where there is no labelled row; ties go to the language that
 sorts first; repeated rows, null ids and null labels are allowed (rows with
-either null are not learned from); an empty table gives no rows.
+either null are not learned from); an empty table gives no rows; other columns are kept.
+Very long texts are scored whole. The score is the posterior among the learned languages:
+of a long text it is near 1 whatever its language.
 """
 
 from __future__ import annotations

@@ -15,7 +15,10 @@ a third of all rows is thus 4,096 groups, and no group holds a whole source.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; a null doc_id hashes as an empty one; repeated rows count each
-for itself; an empty table gives no rows; other columns are not looked at.
+for itself; an empty table gives no rows; other columns are not looked at. Of sources of
+equal cap over weight the first by name is filled first, with the same targets. Very long
+texts are counted whole. Rows without an id hash alike, so they share one bucket of their
+source.
 """
 
 from __future__ import annotations

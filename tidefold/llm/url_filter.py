@@ -15,8 +15,10 @@ are shuffled, and a host with very many links is a skewed side of an ordinary
 join, which Spark splits. The plan is cut by a written table every few steps.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
-fits no rule and is allowed; null html has no links; repeated rows come out each;
-an empty table gives no rows; other columns are not looked at.
+fits no rule and is allowed; null html has no links; of rules of equal length the
+first listed wins; a host whose trust equals its distrust is allowed; very long html is
+searched whole; repeated rows come out each; an empty table gives no rows; other columns
+are not looked at. Links without a scheme are not read.
 """
 
 from __future__ import annotations
