@@ -1,4 +1,16 @@
-"""The corpus pipeline: documents through five operators of ``tidefold.llm``."""
+"""The corpus pipeline: documents through five operators of ``tidefold.llm``.
+
+Defined results. Null and empty texts, and texts without a letter, have no language and go
+in the first stage, with or without an id. Rows without an id take part in all stages; the
+second keeps each of them, as nothing names them. Of rows that repeat an id and a text one
+stays; rows of one id and different texts are different documents throughout. The third
+stage goes by text: equal texts stay or go together. The fourth keeps every row, masks
+what it finds and brings ``n_chars`` up to date. The last one returns a row per document
+left. A null source is a source of its own. Very long texts are taken whole, each in one
+task, in memory that follows the longest. Extra columns, whatever their names, are carried
+to the last stage, which returns its own. An empty table, or one of which nothing is left,
+gives no rows; without benchmark items the third stage keeps everything.
+"""
 
 from __future__ import annotations
 
