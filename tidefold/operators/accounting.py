@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidefold.functions.paths import walk_key
 from tidefold.functions.states import COPIED, status_of
 from tidefold.functions.text import DAY, fixed, human_age, human_duration, human_size
+from tidefold.operators.skew import HotKeys, balanced_join
 from tidefold.sources.ledger import watermark
 
 # Space kept free beyond the estimate, and thresholds of the
@@ -237,3 +238,20 @@ def content_duplicate_groups(inventory: DataFrame) -> DataFrame:
             (F.col("_bytes") - F.col("_size")).cast("bigint").alias("duplicate_bytes"),
         )
     )
+
+
+def content_duplicate_pairs(inventory: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """Each file that repeats a content, beside the file that a walk meets first:
+    ``hash, path, size, keeper``.
+
+    The keeper of a content is one row, joined to its files; the rows of a content that
+    very many files have are split where it is known to be hot.
+    """
+    known = inventory.where("hash is not null").select("hash", "path", "size")
+    keepers = known.groupBy("hash").agg(
+        F.min_by("path", walk_key(F.col("path"))).alias("keeper"), _rows().alias("copies")
+    )
+    keepers = keepers.where("copies > 1").select("hash", "keeper")
+    return balanced_join(known, keepers, "inner", hot or HotKeys("hash"), "path").where(
+        F.col("path") != F.col("keeper")
+    ).select("hash", "path", "size", "keeper")

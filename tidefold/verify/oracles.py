@@ -506,6 +506,10 @@ _SELECTS = {
         SELECT hash, arg_min(path, string_split(path, '/')) AS keeper, count(*) AS copies,
           count(*) - 1 AS duplicates, (sum(size) - max(size))::BIGINT AS duplicate_bytes
         FROM base GROUP BY hash HAVING count(*) > 1""",
+    "content_duplicate_pairs": """
+        SELECT b.hash, b.path, b.size, k.keeper
+        FROM base b JOIN (SELECT hash, arg_min(path, string_split(path, '/')) AS keeper FROM base GROUP BY hash HAVING count(*) > 1) k
+          ON k.hash = b.hash AND k.keeper <> b.path""",
     "plan_estimate": "SELECT files_found, files_to_copy, estimated_bytes FROM estimate",
     "capacity_gate": f"""
         SELECT files_found, files_to_copy, estimated_bytes,

@@ -489,6 +489,12 @@ def content_duplicate_groups(spark, sf_dir):
     return accounting.content_duplicate_groups(fx.inventory(spark, sf_dir))
 
 
+@query
+def content_duplicate_pairs(spark, sf_dir):
+    rows = fx.inventory(spark, sf_dir)
+    return accounting.content_duplicate_pairs(rows, measure_hot_keys(rows, "hash"))
+
+
 # Accounting
 
 
