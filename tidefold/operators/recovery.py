@@ -13,12 +13,12 @@ KNOWN, RECORD, RETRY = "known", "record", "retry"
 DIED = "its run ended before it was copied"
 
 
-def landed_keys(payload: DataFrame) -> DataFrame:
+def landed_keys(payload: DataFrame, in_parts: bool) -> DataFrame:
     """Destinations whose content is all there.
 
     Content in parts (``part`` of ``parts``) counts once every part is.
     """
-    if "parts" not in payload.columns:
+    if not in_parts:
         return payload.select("dest_path").distinct()
     found = payload.groupBy("dest_path").agg(
         F.count_distinct("part").alias("found"), F.max("parts").alias("wanted")

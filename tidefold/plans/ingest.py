@@ -194,7 +194,9 @@ def recover_runs(spark: SparkSession, target: Target, scratch: Scratch | None =
     for run, state, as_of in died:
         if state == PLANNED:
             payload = read_or_empty(spark, target.payload_of(run), None)
-            journal.write("landed", run, recovery.landed_keys(payload))
+            # Columns of a payload table may have any name; these together are those of files.
+            in_parts = {"part", "parts", "content"} <= set(payload.columns)
+            journal.write("landed", run, recovery.landed_keys(payload, in_parts))
             journal.mark(run, WRITTEN, as_of)
         judged = scratch.save(
             recovery.judge_planned(

@@ -116,7 +116,7 @@ def write_files_by_month(results: DataFrame, folder: str, digest: str = "md5") -
     rows = accepted(results)
     with_content(spread_by_content(rows, ("month",)), digest=digest).write.mode("append").partitionBy("month").parquet(folder)
     written = read_or_empty(rows.sparkSession, folder, "dest_path string, part bigint, parts bigint")
-    return rows.join(landed_keys(written), "dest_path", "left_anti")
+    return rows.join(landed_keys(written, True), "dest_path", "left_anti")
 
 
 def write_report(rows: DataFrame, folder: str, form: str = "parquet") -> None:

@@ -179,7 +179,7 @@ def plant_died_run(spark: SparkSession, sf_dir: str, target: Target) -> None:
     kind = F.col("size") % 6
     parts = F.when(kind.isin(2, 3), 2).otherwise(1)
     landed = planned.where(kind != 0).select(
-        "*", parts.cast("bigint").alias("parts"),
+        "*", parts.cast("bigint").alias("parts"), F.lit(b"").alias("content"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(kind == 2, 1).otherwise(0).cast("bigint"))).alias("part"),
     )
     landed.write.partitionBy("month").parquet(target.payload_of(run))
